@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import chat_format
 from .cluster import fold_ascii
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +31,55 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(_table(spark, sf_dir, "conversations"))
+
+
+OP5_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+g AS (
+  SELECT conv_id, turn, count(*) AS n, string_agg(turn || chr(1) || role || chr(2) || text, chr(3) ORDER BY role, text) AS s,
+         string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY role, text) AS r
+  FROM t GROUP BY conv_id, turn),
+p AS (
+  SELECT conv_id, turn, sum(n) OVER w AS n, string_agg(s, chr(4)) OVER w AS prefix,
+         turn = max(turn) OVER (PARTITION BY conv_id) AS is_last
+  FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+kept AS (
+  SELECT min(conv_id) AS conv_id, min(n) AS n_turns FROM p
+  WHERE is_last AND prefix NOT IN (SELECT prefix FROM p WHERE NOT is_last) GROUP BY prefix)
+SELECT conv_id, CAST(floor(turn / 256.0) AS BIGINT) AS part, CAST(n_turns AS BIGINT) AS n_turns, string_agg(r, '' ORDER BY turn) AS rendered
+FROM g JOIN kept USING (conv_id) GROUP BY 1, 2, 3
+"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    cleaned = line_dedup(docs, host=F.col("source"))
+    return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+
+
+OP10_SQL = """
+WITH l AS (
+  SELECT doc_id, rid, host, i, line, trim(line, ' ' || chr(9) || chr(13)) AS bare
+  FROM (SELECT doc_id, rid, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
+        FROM (SELECT doc_id, row_number() OVER () AS rid, coalesce(source, '') AS host, string_split(text, chr(10)) AS lines FROM documents))),
+b AS (
+  SELECT host, bare FROM l WHERE bare <> '' GROUP BY host, bare
+  HAVING count(DISTINCT rid) >= 20 AND count(DISTINCT rid) >
+    CAST(0.1 AS DOUBLE) * (SELECT count(*) FROM documents d WHERE coalesce(d.source, '') = l.host))
+SELECT doc_id, count(*) AS n_lines, count(b.bare) AS n_dropped,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE b.bare IS NULL), '') AS text
+FROM l LEFT JOIN b ON l.host = b.host AND l.bare = b.bare GROUP BY doc_id, rid
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
 def queries() -> dict:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {"op5_chat_format": op5_chat_format, "op6_exact_dedup": op6_exact_dedup, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL}
