@@ -91,3 +91,42 @@ def mark_probable(df: DataFrame, key: Column, members: DataFrame, member: Column
     probed = df.withColumn("_slot", slot(key)).withColumn("_word", F.shiftright("_slot", 6))
     hit = F.expr("coalesce((shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1L, false)")
     return probed.join(F.broadcast(words), "_word", "left").withColumn(name, hit).drop("_slot", "_word", "_bits")
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """df without columns of these names (as Spark compares them), which an operator is to set."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def add_columns(df: DataFrame, make, fields: list, reads: list[str]) -> DataFrame:
+    """df with more columns that `make` computes from whole Arrow batches.
+
+    make(batches of the columns `reads`) yields for each batch the list of its new arrays. It runs
+    once for each task, so that what it sets up first serves all batches.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ship_code(df.sparkSession)
+    schema = StructType([*df.schema.fields, *fields])
+    arrow = to_arrow_schema(StructType(fields))
+    n = len(df.columns)
+    at = [df.columns.index(x) for x in reads]
+
+    def run(batches):
+        seen = []
+
+        def inputs():
+            for b in batches:
+                seen.append(b)
+                yield [b.column(i) for i in at]
+
+        for new in make(inputs()):
+            b = seen.pop()
+            made = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(new, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=schema_names)
+
+    schema_names = schema.names
+    return df.mapInArrow(run, schema)

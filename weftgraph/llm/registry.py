@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .chat_format import chat_format
 from .cluster import fold_ascii
+from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .pii import scan_pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,9 +79,56 @@ UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_hit").alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        F.col("_contaminated").alias("contaminated"),
+    )
+
+
+_WORDS = "regexp_extract_all(lower_ascii(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".replace(
+    "lower_ascii(coalesce(text, ''))", _LOWER
+)
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (
+  SELECT rid, i, size, array_to_string(w[i : i + size - 1], ' ') AS win
+  FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT rid, i, size, item FROM dw JOIN bw USING (size, win)),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM hits) GROUP BY rid),
+items AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")])
+
+
 def queries() -> dict:
-    return {"op5_chat_format": op5_chat_format, "op6_exact_dedup": op6_exact_dedup, "op10_line_dedup": op10_line_dedup}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op5_chat_format": op5_chat_format,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op7_pii": op7_pii,
+        "op10_line_dedup": op10_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL}
