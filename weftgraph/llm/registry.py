@@ -10,6 +10,7 @@ from .cluster import fold_ascii
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .packing import pack
 from .pii import scan_pii
 
 
@@ -33,6 +34,17 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def byte_bpe() -> str:
+    """The vocabulary file that op2 is defined for."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), byte_bpe(), with_ids=False)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
@@ -123,6 +135,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_packing": op2_packing,
         "op5_chat_format": op5_chat_format,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_pii": op7_pii,
