@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .packing import pack
 from .pii import scan_pii
+from .secrets import fit_secrets, scan_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), byte_bpe(), with_ids=False)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_secrets(docs, fit_secrets(docs))
+    return found.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
@@ -136,6 +143,7 @@ def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_packing": op2_packing,
+        "op4_secrets": op4_secrets,
         "op5_chat_format": op5_chat_format,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_pii": op7_pii,
