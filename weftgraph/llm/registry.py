@@ -9,6 +9,7 @@ from .chat_format import chat_format
 from .cluster import fold_ascii
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
+from .language import fit_languages, identify
 from .line_dedup import line_dedup
 from .packing import pack
 from .pii import scan_pii
@@ -139,6 +140,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")])
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(True))
+    filters = fit_languages(docs.where(~held_out))
+    found = identify(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -147,6 +156,7 @@ def queries() -> dict:
         "op5_chat_format": op5_chat_format,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_pii": op7_pii,
+        "op8_language": op8_language,
         "op10_line_dedup": op10_line_dedup,
     }
 
