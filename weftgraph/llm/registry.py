@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .packing import pack
 from .pii import scan_pii
 from .secrets import fit_secrets, scan_secrets
+from .toxicity import fit_chain, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), byte_bpe(), with_ids=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = fit_chain(docs, _table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, chain)
+    return scored.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("p_low_quality", "p_toxic", "is_low_quality", "is_toxic")])
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_secrets(docs, fit_secrets(docs))
@@ -152,6 +160,7 @@ def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_packing": op2_packing,
+        "op3_toxicity": op3_toxicity,
         "op4_secrets": op4_secrets,
         "op5_chat_format": op5_chat_format,
         "op6_exact_dedup": op6_exact_dedup,
