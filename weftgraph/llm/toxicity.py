@@ -15,8 +15,8 @@ from .cluster import add_columns, ship_code, without
 SAMPLE_DOCS = 8_000
 #: Features that a link of the chain looks at: those that tell most about its category.
 FEATURES = 2_048
-#: ... beyond what chance gives among millions of features.
-LEAST_G = 14.0
+#: ... if chance alone would give as much to so many features at most.
+BY_CHANCE = 5.0
 FOLDS = 5
 #: Besides a word itself its first bytes are features, so that other forms of it count too.
 STEMS = (4, 5, 6)
@@ -65,7 +65,7 @@ class Link:
         return both // n, both % n
 
 
-def _fit_linear(text: np.ndarray, at: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, decay: float = 0.5, rounds: int = 12, inner: int = 25):
+def _fit_linear(text: np.ndarray, at: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, decay: float = 0.05, rounds: int = 12, inner: int = 25):
     """Logistic regression with a quadratic penalty by Newton steps, each solved by conjugate
     gradients. Returns the weights of the text's features and then of `dense`, and the bias."""
     n = len(y)
@@ -123,7 +123,7 @@ def _select(text: np.ndarray, feature: np.ndarray, y: np.ndarray, most: int) ->
     cell = lambda x, r, k: x * np.log(x * total / (r * k))
     g = np.where(enough, cell(a, a + b, a + c) + cell(b, a + b, b + d) + cell(c, c + d, a + c) + cell(d, c + d, b + d), -1)
     best = np.argsort(-g, kind="stable")[:most]
-    return keys[np.sort(best[g[best] > LEAST_G])]
+    return keys[np.sort(best[g[best] > np.log(max(1, enough.sum()) / BY_CHANCE)])]
 
 
 class Chain:
