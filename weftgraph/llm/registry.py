@@ -9,6 +9,7 @@ from .chat_format import chat_format
 from .cluster import fold_ascii
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_classes
 from .language import fit_languages, identify
 from .line_dedup import line_dedup
 from .packing import pack
@@ -156,6 +157,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -166,6 +171,7 @@ def queries() -> dict:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_pii": op7_pii,
         "op8_language": op8_language,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_line_dedup": op10_line_dedup,
     }
 
