@@ -1,8 +1,72 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline: toxicity, boilerplate lines, near duplicates, contamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read
+again for the next one. All stages but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.llm.cluster import anti_join, save
+from weftgraph.llm.decontaminate import decontaminate
+from weftgraph.llm.jaccard import jaccard_classes
+from weftgraph.llm.line_dedup import line_dedup
+from weftgraph.llm.packing import pack
+from weftgraph.llm.registry import byte_bpe
+from weftgraph.llm.toxicity import fit_chain, score_toxicity
+
+#: Near duplicates share this part of their five-word sequences.
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain calls toxic go. Others stay, those of low quality too."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(docs, fit_chain(docs, labels)).where("not _is_toxic").select(*docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are boilerplate of their source are cut out; every document stays."""
+    cleaned = line_dedup(docs, host=F.col("source"))
+    return cleaned.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays. Documents without
+    words are no duplicates of each other, rows without an id stay, and rows that share an id are
+    one document, which stays or goes."""
+    classes = jaccard_classes(docs, n=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    return anti_join(docs, "doc_id", save(gone, "near-duplicates"), "doc_id").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark windows go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 2048 tokens."""
+    return pack(docs, byte_bpe(), with_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+#: A trained model and a tokenizer are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each one's rows are written before the next begins."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

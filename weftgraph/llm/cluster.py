@@ -93,6 +93,15 @@ def mark_probable(df: DataFrame, key: Column, members: DataFrame, member: Column
     return probed.join(F.broadcast(words), "_word", "left").withColumn(name, hit).drop("_slot", "_word", "_bits")
 
 
+def anti_join(df: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
+    """Rows of df whose key is not among `members`, which has each once. Only rows that pass the
+    filter of probable members are shuffled; the others go through as they are read."""
+    marked = mark_probable(df, F.col(key), members, F.col(member), "_probable")
+    sure = marked.where("not _probable").drop("_probable")
+    rest = marked.where("_probable").drop("_probable")
+    return sure.unionByName(rest.join(members.select(F.col(member).alias("_member")), F.col(key) == F.col("_member"), "left_anti"))
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns of these names (as Spark compares them), which an operator is to set."""
     taken = {n.lower() for n in names}
