@@ -1,0 +1 @@
+"""Nothing yet: graphs are static and all queries are batch queries."""
