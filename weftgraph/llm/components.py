@@ -29,15 +29,45 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _contract(edges: DataFrame) -> DataFrame:
+    """Links of each task replaced by stars: every node to the smallest that the task's own links
+    lead to. No link between components is lost, and chains become short."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            path = []
+            while (up := parent.setdefault(x, x)) != x:
+                path.append(x)
+                x = up
+            for y in path:
+                parent[y] = x
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = root(u), root(v)
+                parent[max(x, y)] = min(x, y)
+        nodes = [x for x in parent if root(x) != x]
+        for i in range(0, len(nodes), 10_000):
+            own = nodes[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([root(x) for x in own], pa.int64())], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long").distinct()
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `links`; a component's name is its smallest node.
 
-    Alternating large-star and small-star steps over the table of links; rounds needed grow with
-    the logarithm of the longest chain. Each round is written to the shared folder. Links with a
+    Links are first contracted within each task; then large-star and small-star steps alternate over
+    the table of links, in rounds that grow with the logarithm of the longest chain. Each round is written to the shared folder. Links with a
     null end and links of a node with itself are left out; repeated links count once.
     """
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct()
-    edges = save(edges, "links")
+    edges = save(_contract(edges), "links")
     state = None
     for k in range(most_rounds):
         edges = save(_star(_star(edges, large=True), large=False), f"stars-{k}")

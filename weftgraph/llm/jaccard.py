@@ -88,7 +88,13 @@ def frequent_ngrams(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                     inside[at[(at >= 0) & (at < len(runs))]] = False
                 found.append(runs[inside])
                 total += int(inside.sum())
-            keys, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            del found
+            every.sort()
+            # Where LOCAL equal ones stand in a row, their run is looked at; most n-grams occur once.
+            seen = np.flatnonzero(every[LOCAL - 1 :] == every[: len(every) - LOCAL + 1]) if len(every) >= LOCAL else np.zeros(0, np.int64)
+            keys = np.unique(every[seen])
+            counts = np.searchsorted(every, keys, side="right") - np.searchsorted(every, keys)
             often = counts >= LOCAL
             key = pa.array(np.append(keys[often].view(np.int64), 0), mask=np.append(np.zeros(int(often.sum()), bool), True))
             yield pa.RecordBatch.from_arrays([key, pa.array(np.append(counts[often], total).astype(np.int64))], names=["g", "c"])
@@ -349,7 +355,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = some.join(comp.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     rest = candidate_pairs(sorted_tiles(some.join(signed, "id")), num, den, all_pairs=True).select("a", "b").join(first, ["a", "b"], "left_anti")
     rest = save(rest, "other-pairs")
-    more = verify(rest, src, n, num, den)
+    more = save(verify(rest, src, n, num, den), "other-links")
     # Links between components, put under the components' names.
     ends = more.join(comp.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(comp.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
     merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
