@@ -21,6 +21,8 @@ class Relation:
     rows: float
     distinct: dict[str, float]
     weighted: bool = False
+    #: For an edge table that has no pair twice: what tells it from others.
+    edge: tuple | None = None
 
     def weight(self):
         return F.col(WEIGHT) if self.weighted else F.lit(1).cast("long")

@@ -56,7 +56,10 @@ class Compiler:
         a, b = to(e.src), to(e.dst)
         if a == b:
             return Relation(df.where("s = d").select(F.col("s").alias(a)), (a,), rows / max(ns, 1.0), {a: min(ns, nd)})
-        return Relation(df.select(F.col("s").alias(a), F.col("d").alias(b)), (a, b), rows, {a: ns, b: nd})
+        # The pairs of an undirected label are the same from either end.
+        same = frozenset((a, b)) if self.catalog.is_undirected(e.label) and self.leaves[e.src] == self.leaves[e.dst] else (a, b)
+        known = (e.label, same, *(tuple(self.leaves[n]) for n in (e.src, e.dst))) if len(ways) == 1 else None
+        return Relation(df.select(F.col("s").alias(a), F.col("d").alias(b)), (a, b), rows, {a: ns, b: nd}, edge=known)
 
     # The core: regular edges, constraints and NOT edges
 
@@ -80,7 +83,12 @@ class Compiler:
             return self._none(keep)
         todo = [(Differ(final[c.a], final[c.b])) for c in differs]
         absent = [(e, self.edge(e, final)) for e in nots]
-        parts = [self.edge(e, final) for e in [*self.pattern.of_kind(REGULAR), *extra]]
+        parts = []
+        for e in [*self.pattern.of_kind(REGULAR), *extra]:
+            r = self.edge(e, final)
+            # A set of pairs asked for twice holds each once.
+            if r.edge is None or all(p.edge != r.edge for p in parts):
+                parts.append(r)
         keep_columns = {self.column[final[n]] for n in keep}
 
         def settle(r: Relation) -> Relation:
@@ -155,7 +163,7 @@ class Compiler:
         whose other ends are both in a third part."""
         for j, k in combinations(range(len(parts)), 2):
             a, b = parts[j], parts[k]
-            if a.weighted or b.weighted or len(a.vars) != 2 or len(b.vars) != 2:
+            if a.edge is None or b.edge is None:
                 continue
             shared = set(a.vars) & set(b.vars)
             if len(shared) != 1:
