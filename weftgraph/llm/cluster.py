@@ -34,8 +34,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch. Spark's own number is 10,000, which is too much for long texts: a worker
+#: and the JVM each hold a whole batch.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application, and have batches of texts be
+    of moderate size, unless the session has its own number."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     name = "weftgraph_code.zip"
     if name in {os.path.basename(x) for x in spark.sparkContext._python_includes}:
         return

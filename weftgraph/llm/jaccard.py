@@ -27,7 +27,9 @@ from .components import connected_components
 FREQUENT = 1 << 18
 #: ... and at least so many occurrences.
 LEAST_FREQUENT = 64
-#: Occurrences in a batch below which a task says nothing about an n-gram.
+#: A task counts so many n-grams at a time, and says nothing about one that occurs fewer than LOCAL
+#: times among them.
+COUNTED = 4_000_000
 LOCAL = 4
 #: Classes that one tile is expected to have at most; a frequent entry is dealt to more tiles.
 TILE = 4096
@@ -74,11 +76,23 @@ def frequent_ngrams(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     one keeps tiles small. At most FREQUENT reach the driver."""
     ship_code(texts.sparkSession)
 
-    def run(batches):
+    def counted(found: list[np.ndarray]):
         import pyarrow as pa
 
+        every = np.concatenate([np.zeros(0, np.uint64), *found])
+        total = len(every)
+        found.clear()
+        every.sort()
+        # Where LOCAL equal ones stand in a row, their run is looked at; most n-grams occur once.
+        seen = np.flatnonzero(every[LOCAL - 1 :] == every[: total - LOCAL + 1]) if total >= LOCAL else np.zeros(0, np.int64)
+        keys = np.unique(every[seen])
+        counts = np.searchsorted(every, keys, side="right") - np.searchsorted(every, keys)
+        key = pa.array(np.append(keys.view(np.int64), 0), mask=np.append(np.zeros(len(keys), bool), True))
+        return pa.RecordBatch.from_arrays([key, pa.array(np.append(counts, total).astype(np.int64))], names=["g", "c"])
+
+    def run(batches):
+        found, held = [], 0
         for batch in batches:
-            found, total = [], 0
             for _, _, _, _, _, first, hashes in nonspace_words().batches(batch.column(0)):
                 runs = run_hashes(hashes, n)
                 last = first[1:][np.diff(first) > 0]
@@ -87,17 +101,11 @@ def frequent_ngrams(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                     at = last - k
                     inside[at[(at >= 0) & (at < len(runs))]] = False
                 found.append(runs[inside])
-                total += int(inside.sum())
-            every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            del found
-            every.sort()
-            # Where LOCAL equal ones stand in a row, their run is looked at; most n-grams occur once.
-            seen = np.flatnonzero(every[LOCAL - 1 :] == every[: len(every) - LOCAL + 1]) if len(every) >= LOCAL else np.zeros(0, np.int64)
-            keys = np.unique(every[seen])
-            counts = np.searchsorted(every, keys, side="right") - np.searchsorted(every, keys)
-            often = counts >= LOCAL
-            key = pa.array(np.append(keys[often].view(np.int64), 0), mask=np.append(np.zeros(int(often.sum()), bool), True))
-            yield pa.RecordBatch.from_arrays([key, pa.array(np.append(counts[often], total).astype(np.int64))], names=["g", "c"])
+                held += len(found[-1])
+            if held >= COUNTED:
+                yield counted(found)
+                held = 0
+        yield counted(found)
 
     counts = save(texts.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "ngram-counts")
     total = counts.where("g is null").agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]

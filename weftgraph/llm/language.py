@@ -18,6 +18,8 @@ LEAST_SHARE = 2e-5
 #: ... at least this part of its largest share in any language.
 NEAR_LARGEST = 0.4
 SLOTS = 1 << 19
+#: A task counts so many n-grams at a time.
+COUNTED = 4_000_000
 HASHES = 2
 _BLANK = 0x20
 _BLOCK = 1 << 20
@@ -120,24 +122,32 @@ def count_ngrams(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
     """(lang, code, n): n-grams counted, first within each task."""
     ship_code(docs.sparkSession)
 
-    def run(batches):
+    def counted(parts: dict[str, list]):
         import pyarrow as pa
 
+        names, codes, counts = [], [], []
+        for name, own in parts.items():
+            code, n = np.unique(np.concatenate(own), return_counts=True)
+            names += [name] * len(code)
+            codes.append(code.astype(np.int64))
+            counts.append(n.astype(np.int64))
+        parts.clear()
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([none, *codes])), pa.array(np.concatenate([none, *counts]))], names=["lang", "code", "n"])
+
+    def run(batches):
+        parts, held = {}, 0
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
-            out: dict[str, list] = {"lang": [], "code": [], "n": []}
-            per_lang: dict[str, list] = {}
             for i, codes, owner, n in _codes(batch.column(0)):
                 own = langs[i : i + n]
                 for name in set(own.tolist()):
-                    per_lang.setdefault(name, []).append(codes[np.isin(owner, np.flatnonzero(own == name))])
-            for name, parts in per_lang.items():
-                codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-                out["lang"] += [name] * len(codes)
-                out["code"].append(codes.astype(np.int64))
-                out["n"].append(counts)
-            cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(cat(out["code"])), pa.array(cat(out["n"]))], names=["lang", "code", "n"])
+                    parts.setdefault(name, []).append(codes[np.isin(owner, np.flatnonzero(own == name))])
+                held += len(codes)
+            if held >= COUNTED:
+                yield counted(parts)
+                held = 0
+        yield counted(parts)
 
     found = docs.select(text.cast("string").alias("t"), lang.cast("string").alias("l")).mapInArrow(run, "lang string, code long, n long")
     return found.groupBy("lang", "code").agg(F.sum("n").alias("n"))

@@ -17,6 +17,8 @@ SAMPLE_DOCS = 8_000
 FEATURES = 2_048
 #: ... if chance alone would give as much to so many features at most.
 BY_CHANCE = 5.0
+#: ... and that so many texts of the sample have.
+LEAST_TEXTS = 3
 FOLDS = 5
 #: Besides a word itself its first bytes are features, so that other forms of it count too.
 STEMS = (4, 5, 6)
@@ -110,20 +112,36 @@ def _fit_linear(text: np.ndarray, at: np.ndarray, width: int, dense: np.ndarray,
     return w[:-1], float(w[-1])
 
 
-def _select(text: np.ndarray, feature: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """The features that say most about y, by the G statistic, in order of their keys."""
-    keys, place = np.unique(feature, return_inverse=True)
-    n, pos = len(y), y.sum()
-    df = np.bincount(place, minlength=len(keys)).astype(float)
-    hit = np.bincount(place, weights=y[text], minlength=len(keys))
-    enough = df >= 3
+def _select(text: np.ndarray, at: np.ndarray, width: int, own: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Of `width` features those that say most about y in the texts `own`, by the G statistic."""
+    mine = own[text]
+    df = np.bincount(at[mine], minlength=width).astype(float)
+    hit = np.bincount(at[mine & (y[text] > 0)], minlength=width).astype(float)
+    n, pos = own.sum(), y[own].sum()
+    enough = df >= LEAST_TEXTS
     a, b = hit + 0.5, df - hit + 0.5
-    c, d = pos - hit + 0.5, n - pos - df + hit + 0.5
+    c, d = np.maximum(pos - hit, 0) + 0.5, np.maximum(n - pos - df + hit, 0) + 0.5
     total = a + b + c + d
     cell = lambda x, r, k: x * np.log(x * total / (r * k))
     g = np.where(enough, cell(a, a + b, a + c) + cell(b, a + b, b + d) + cell(c, c + d, a + c) + cell(d, c + d, b + d), -1)
     best = np.argsort(-g, kind="stable")[:most]
-    return keys[np.sort(best[g[best] > np.log(max(1, enough.sum()) / BY_CHANCE)])]
+    return np.sort(best[g[best] > np.log(max(1, enough.sum()) / BY_CHANCE)])
+
+
+def common_features(text: np.ndarray, feature: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features that `least` texts have, in order, and which text has which of them by place."""
+    ordered = np.sort(feature)
+    keys = np.unique(ordered[least - 1 :][ordered[least - 1 :] == ordered[: len(ordered) - least + 1]]) if len(ordered) >= least else ordered[:0]
+    del ordered
+    texts, places = [text[:0].astype(np.int32)], [np.zeros(0, np.int32)]
+    for i in range(0, len(feature) if len(keys) else 0, 1 << 20):
+        part = feature[i : i + (1 << 20)]
+        at = np.searchsorted(keys, part)
+        at[at == len(keys)] = 0
+        hit = keys[at] == part
+        texts.append(text[i : i + (1 << 20)][hit].astype(np.int32))
+        places.append(at[hit].astype(np.int32))
+    return keys, np.concatenate(texts), np.concatenate(places)
 
 
 class Chain:
@@ -140,6 +158,7 @@ class Chain:
         for texts that the earlier links have not seen. A category's cut is where the out-of-fold
         probabilities of both classes are told apart best."""
         n = len(labels)
+        keys, text, at = common_features(text, feature, LEAST_TEXTS)
         fold = np.arange(n) % folds
         chain = np.zeros((n, 0))
         links, cuts = [], []
@@ -148,26 +167,25 @@ class Chain:
             unseen = np.zeros(n)
             for f in range(folds):
                 own = fold != f
-                link = cls._link(text, feature, y, chain, own, most)
-                at = np.searchsorted(link.keys, feature)
-                at[at == len(link.keys)] = 0
-                hit = link.keys[at] == feature if len(link.keys) else np.zeros(len(feature), dtype=bool)
-                unseen[~own] = link.scores(text[hit], at[hit], n, chain)[~own]
-            links.append(cls._link(text, feature, y, chain, np.ones(n, dtype=bool), most))
+                link, t, i = cls._link(keys, text, at, y, chain, own, most)
+                unseen[~own] = link.scores(t, i, n, chain)[~own]
+            links.append(cls._link(keys, text, at, y, chain, np.ones(n, dtype=bool), most)[0])
             cuts.append(best_cut(unseen, y))
             chain = np.column_stack([chain, unseen])
         return cls(categories, links, cuts)
 
     @staticmethod
-    def _link(text, feature, y, chain, own, most) -> Link:
-        mine = own[text]
-        place = np.cumsum(own) - 1
-        keys = _select(place[text[mine]], feature[mine], y[own], most) if own.any() else np.zeros(0, dtype=np.uint32)
-        at = np.searchsorted(keys, feature[mine])
-        at[at == len(keys)] = 0
-        hit = keys[at] == feature[mine] if len(keys) else np.zeros(int(mine.sum()), dtype=bool)
-        weights, bias = _fit_linear(place[text[mine]][hit], at[hit], len(keys), chain[own], y[own])
-        return Link(keys, weights[: len(keys)], weights[len(keys) :], bias)
+    def _link(keys, text, at, y, chain, own, most) -> tuple[Link, np.ndarray, np.ndarray]:
+        """A link fitted on the texts `own`, and which of all texts has which of its features."""
+        best = _select(text, at, len(keys), own, y, most)
+        place = np.full(len(keys), -1)
+        place[best] = np.arange(len(best))
+        chosen = place[at]
+        t, i = text[chosen >= 0].astype(np.int64), chosen[chosen >= 0]
+        mine = own[t]
+        row = np.cumsum(own) - 1
+        weights, bias = _fit_linear(row[t[mine]], i[mine], len(best), chain[own], y[own])
+        return Link(keys[best], weights[: len(best)], weights[len(best) :], bias), t, i
 
     def predict(self, texts) -> np.ndarray:
         """Probabilities, texts by categories."""
@@ -228,12 +246,13 @@ def fit_chain(
     `sample_docs` labelled documents at most."""
     categories = categories or {"low_quality": "1 - quality", "toxic": "toxic"}
     table = training_rows(docs, labels, categories, id_col, text_col, sample_docs).toArrow()
-    packed = table.column("f").to_pylist()
-    order = sorted(range(len(packed)), key=lambda i: (table.column("h")[i].as_py(), packed[i]))
-    packed = [packed[i] for i in order]
-    y = np.array([table.column("y")[i].as_py() for i in order], dtype=np.int64).reshape(len(order), len(categories))
-    text = np.repeat(np.arange(len(packed)), [len(x) // 4 for x in packed])
-    feature = np.frombuffer(b"".join(packed), dtype=np.uint32)
+    order = np.argsort(table.column("h").to_numpy(), kind="stable")
+    table = table.take(order)
+    y = np.array(table.column("y").to_pylist(), dtype=np.int64).reshape(len(order), len(categories))
+    packed = table.column("f").combine_chunks() if len(order) else None
+    sizes = np.diff(np.frombuffer(packed.buffers()[1], dtype=np.int32)[: len(order) + 1]) // 4 if len(order) else np.zeros(0, np.int64)
+    feature = np.frombuffer(packed.buffers()[2], dtype=np.uint32)[: int(sizes.sum())] if len(order) else np.zeros(0, np.uint32)
+    text = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
     return Chain.fit(list(categories), text, feature, y)
 
 
