@@ -128,6 +128,12 @@ def test_errors(graphs):
         engine.count(Pattern.of("a:A; b:B", "(a)-[x]->(b)"), "guess")
 
 
-def test_explain(graphs):
-    text = PatternEngine(graphs[0][0]).explain(Pattern.of(*CASES["neq"]))
-    assert "strategy: subtract" in text and "HashAggregate" in text
+def test_choice(graphs, monkeypatch):
+    from weftgraph.plans import compiler
+
+    engine = PatternEngine(graphs[0][0])
+    text = engine.explain(Pattern.of(*CASES["neq"]))
+    assert "strategy: eager" in text and "HashAggregate" in text
+    monkeypatch.setattr(compiler, "LARGE", 1.0)
+    choice = {n: engine.compile(Pattern.of(*CASES[n])).choose() for n in ("neq", "not", "triangle", "optional_neq", "two_neq")}
+    assert choice == {"neq": "subtract", "not": "eager", "triangle": "eager", "optional_neq": "eager", "two_neq": "subtract"}

@@ -22,8 +22,10 @@ from weftgraph.sources.catalog import GraphCatalog
 #: constraints and NOT edges by inclusion and exclusion; "intersect" closes triangles by neighbour
 #: lists; "auto" chooses between them.
 STRATEGIES = ("auto", "join", "declared", "eager", "subtract", "intersect")
-#: Constraints and NOT edges that "auto" counts by subtraction at most: each doubles the terms.
+#: Constraints that "auto" counts by subtraction at most: each doubles the terms.
 MOST_SUBTRACTED = 2
+#: Rows of a join, by estimate, from which subtraction is worth its terms; fewer flow through faster.
+LARGE = 1e8
 #: Rows added up early must be expected to become fewer by this factor.
 SHRINK = 2.0
 
@@ -33,6 +35,8 @@ class Compiler:
         self.catalog, self.pattern = catalog, pattern
         self.column = {v.name: f"v{i}" for i, v in enumerate(pattern.vertices)}
         self.leaves = {v.name: catalog.leaves(v.label) for v in pattern.vertices}
+        #: Rows of the largest join planned so far, by estimate.
+        self.peak = 0.0
 
     # Edges as relations
 
@@ -131,6 +135,7 @@ class Compiler:
                 continue
             i, j = self._next(parts, ordered)
             made = settle(join(parts[i], parts[j]))
+            self.peak = max(self.peak, made.rows)
             parts = [made] + [p for n, p in enumerate(parts) if n not in (i, j)] if ordered else [p for n, p in enumerate(parts) if n not in (i, j)] + [made]
         out = parts[0]
         for n in keep:
@@ -234,13 +239,15 @@ class Compiler:
         return core, [v.name for v in self.pattern.vertices if v.name in later]
 
     def choose(self) -> str:
-        """What "auto" stands for: subtraction where few constraints keep an acyclic pattern from
-        being added up early, and early counting otherwise."""
+        """What "auto" stands for: subtraction where inequalities keep an acyclic pattern from being
+        added up before a large join, and early counting otherwise. A NOT edge closes a cycle and
+        counts as much by subtraction as without."""
         core, keep = self._split()
-        ties = len(core) + len(self.pattern.of_kind(NOT))
-        if 0 < ties <= MOST_SUBTRACTED and not keep and self.pattern.is_acyclic():
-            return "subtract"
-        return "eager"
+        if not 0 < len(core) <= MOST_SUBTRACTED or keep or self.pattern.of_kind(NOT) or not self.pattern.is_acyclic():
+            return "eager"
+        self.peak = 0.0
+        self.core([], core, [])
+        return "subtract" if self.peak >= LARGE else "eager"
 
     def count(self, strategy: str = "auto") -> DataFrame:
         """One row, match_count."""

@@ -53,8 +53,8 @@ def co_purchases(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame) ->
 
 
 def star_graph(spark: SparkSession, folder: str, keep: bool = True) -> GraphCatalog:
-    """The catalog over Parquet tables in `folder`. keep: hold the derived KNOWS edges once made,
-    in memory or on disk, as patterns use them several times."""
+    """The catalog over Parquet tables in `folder`. keep: hold edge sets once made, in memory or on
+    disk, as patterns use them again; for a graph that is used for long, store it instead."""
     t = {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")}
     types = t["events"].select("event_type").where("event_type is not null").distinct()
     # Few event types by nature of the column; they are numbered by name.
@@ -96,4 +96,4 @@ def star_graph(spark: SparkSession, folder: str, keep: bool = True) -> GraphCata
         ("KNOWS", "Customer", "Customer"): (50 * n["customer"], n["customer"], n["customer"]),
     }
     g = catalog_from_tables(spark, STAR_SCHEMA, vertices, tables, stats={k: EdgeStats(*map(int, v)) for k, v in stats.items()})
-    return g.persist(["KNOWS"]) if keep else g
+    return g.persist() if keep else g
