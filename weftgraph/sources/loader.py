@@ -90,8 +90,10 @@ def _with_reverse(tables: dict[tuple[str, str, str], DataFrame], undirected: set
 def catalog_from_tables(spark: SparkSession, schema: GraphSchema, vertices: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], drop_self_loops: bool = False, stats: dict[tuple[str, str, str], EdgeStats] | None = None) -> GraphCatalog:
     """A catalog over tables of raw ids: vertices (id) by leaf label, edges (src, dst) by (label,
     source leaf, target leaf)."""
-    packed_v = {k: t.select(global_id(schema.ordinal(k), F.col("id")).alias("id")).distinct() for k, t in vertices.items()}
-    packed_e = {k: t.select(global_id(schema.ordinal(k[1]), F.col("src")).alias("src"), global_id(schema.ordinal(k[2]), F.col("dst")).alias("dst")).where("src is not null and dst is not null") for k, t in edges.items()}
+    packed_v = {k: t.where("id is not null").select(global_id(schema.ordinal(k), F.col("id")).alias("id")).distinct() for k, t in vertices.items()}
+    # Nulls are left out of raw columns, where the scan can do it.
+    whole = {k: t.where("src is not null and dst is not null") for k, t in edges.items()}
+    packed_e = {k: t.select(global_id(schema.ordinal(k[1]), F.col("src")).alias("src"), global_id(schema.ordinal(k[2]), F.col("dst")).alias("dst")) for k, t in whole.items()}
     return GraphCatalog(spark, schema, packed_v, _with_reverse(packed_e, schema.undirected, drop_self_loops), stats)
 
 

@@ -37,10 +37,11 @@ def _pairs(df: DataFrame, src: str, dst: str) -> DataFrame:
 
 
 def co_purchases(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame) -> DataFrame:
-    """(src, dst): customers who bought the same part from suppliers of one nation, both ways.
+    """(src, dst), src < dst: customers who bought the same part from suppliers of one nation.
 
     Buyers are one row for each part, nation and customer before they are paired, so that a pair
-    is made once for each purchase in common and not for each line."""
+    is made once for each purchase in common and not for each line. The loader makes a set of the
+    pairs and adds the other direction."""
     lines = lineitem.select("l_orderkey", "l_partkey", "l_suppkey")
     bought = (
         lines.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
@@ -49,7 +50,7 @@ def co_purchases(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame) ->
         .distinct()
     )
     other = bought.withColumnRenamed("o_custkey", "c2")
-    return bought.join(other, ["l_partkey", "s_nationkey"]).where("o_custkey <> c2").select(F.col("o_custkey").cast("long").alias("src"), F.col("c2").cast("long").alias("dst")).distinct()
+    return bought.join(other, ["l_partkey", "s_nationkey"]).where("o_custkey < c2").select(F.col("o_custkey").cast("long").alias("src"), F.col("c2").cast("long").alias("dst"))
 
 
 def star_graph(spark: SparkSession, folder: str, keep: bool = True) -> GraphCatalog:
