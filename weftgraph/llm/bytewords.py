@@ -76,6 +76,18 @@ class WordSplitter:
         return starts, ends, np.searchsorted(starts, cuts)
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(data) <= _BLOCK:
+            return self._hashes(data, starts, ends)
+        # A long text is hashed piece by piece, cut between words.
+        out, i = [], 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, side="right")))
+            lo = starts[i]
+            out.append(self._hashes(data[lo : ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo))
+            i = j
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
         total = np.empty(len(data) + 1, dtype=np.uint64)
         total[0] = 0

@@ -104,9 +104,8 @@ class Features:
         closed = edges if edges[-1] < len(data) else edges[:-1]
         shape = np.bitwise_or.reduceat(self.kind[data], closed)[0::2]
         digit = self.digit[data]
-        change = np.zeros(len(data), dtype=np.int32)
-        change[1:] = digit[1:] != digit[:-1]
-        total = np.concatenate([[0], np.cumsum(change)])
+        total = np.zeros(len(data) + 1, dtype=np.int32)
+        np.cumsum(digit[1:] != digit[:-1], out=total[2:])
         changes = np.minimum(total[ends] - total[starts + 1], 5)
         gaps = np.bitwise_or.reduceat(self.gap[data], closed)[1::2]
         after = np.zeros(n, dtype=np.int32)
