@@ -20,8 +20,8 @@ from weftgraph.sources.catalog import GraphCatalog
 #: Ways to count. "join" enumerates all matches; "declared" does so in the order in which edges are
 #: written; "eager" adds up what is not needed any more as soon as possible; "subtract" also counts
 #: constraints and NOT edges by inclusion and exclusion; "intersect" closes triangles by neighbour
-#: lists; "auto" chooses between them.
-STRATEGIES = ("auto", "join", "declared", "eager", "subtract", "intersect")
+#: lists; "reduce" first drops what has no partner in a neighbouring edge; "auto" chooses.
+STRATEGIES = ("auto", "join", "declared", "eager", "subtract", "intersect", "reduce")
 #: Constraints that "auto" counts by subtraction at most: each doubles the terms.
 MOST_SUBTRACTED = 2
 #: Rows of a join, by estimate, from which subtraction is worth its terms; fewer flow through faster.
@@ -67,7 +67,7 @@ class Compiler:
 
     # The core: regular edges, constraints and NOT edges
 
-    def core(self, keep: list[str], differs: list[Differ], nots: list[PatternEdge], extra: list[PatternEdge] = (), same: list[Differ] = (), eager: bool = True, ordered: bool = False, intersect: bool = False) -> Relation:
+    def core(self, keep: list[str], differs: list[Differ], nots: list[PatternEdge], extra: list[PatternEdge] = (), same: list[Differ] = (), eager: bool = True, ordered: bool = False, intersect: bool = False, semi: bool = False) -> Relation:
         """Matches of the regular edges and `extra` ones, with variables in `same` made one.
 
         keep: names of variables that must stay columns."""
@@ -119,6 +119,12 @@ class Compiler:
             return out
 
         parts = [settle(p) for p in parts]
+        if semi:
+            # Each part in turn by those before it, already reduced, and by those after it.
+            for i in range(len(parts)):
+                for j in range(len(parts)):
+                    if i != j and set(parts[i].vars) & set(parts[j].vars):
+                        parts[i] = with_edge(parts[i], parts[j])
         while True:
             # What no other part, constraint or result needs is added up, or just dropped.
             if eager:
@@ -258,7 +264,7 @@ class Compiler:
         nots = self.pattern.of_kind(NOT)
         if strategy == "subtract":
             return self._subtract(core, nots, keep)
-        options = {"eager": strategy in ("eager", "intersect"), "ordered": strategy == "declared", "intersect": strategy == "intersect"}
+        options = {"eager": strategy in ("eager", "intersect"), "ordered": strategy == "declared", "intersect": strategy == "intersect", "semi": strategy == "reduce"}
         r = self.optional(self.core(keep, core, nots, **options), set(), options["eager"])
         return _total([(1, r)])
 
@@ -301,4 +307,4 @@ def _total(terms: list[tuple[int, Relation]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).agg(F.sum("n").cast("long").alias("match_count"))
 
 
-__all__ = ["STRATEGIES", "Compiler", "with_edge"]
+__all__ = ["STRATEGIES", "Compiler"]

@@ -83,7 +83,10 @@ STRATEGIES: dict[str, tuple[str, str]] = {
     "j1_join_chain": ("g1_chain", "join"),
     "j2_join_neq": ("g5_neq", "join"),
     "j4_join_not": ("g8_not", "join"),
+    "j9_semi_join_cycle": ("g2_cycle", "reduce"),
     "j11_eager_star": ("g4_star", "eager"),
+    "j11_subtract_neq": ("g5_neq", "subtract"),
+    "j11_subtract_not": ("g8_not", "subtract"),
     "j10_intersect_triangle": ("g3_triangle", "intersect"),
     "j10_intersect_supplies": ("j1_four_cycle_parts", "intersect"),
 }
