@@ -48,7 +48,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.when(F.col("_again"), F.unhex(F.sha2("_t", 256))).otherwise(
         F.encode(F.concat_ws("#", F.lit(""), F.col("_id").cast("string"), F.col("_pre").cast("string")), "utf-8")
     )
-    rows = marked.select("_id", full.alias("_full"), "_again", "_len", *[f"_c_{n}" for n in carry])
+    # Written once, so that texts are not read a third time.
+    rows = save(marked.select("_id", full.alias("_full"), "_again", "_len", *[f"_c_{n}" for n in carry]), "full-hashes")
     groups = (
         rows.where("_again")
         .select("_full", "_len", "_id")
