@@ -160,7 +160,7 @@ def fit_languages(
 
     What reaches the driver is n-grams with a share of `least_share` in a language, at most
     1 / least_share for each language."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     limit = known.select(F.xxhash64(id_col).alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     chosen = known.where(F.xxhash64(id_col) <= F.lit(limit if limit is not None else 0))
     counts = count_ngrams(chosen, F.col(text_col), F.col(lang_col)).persist()

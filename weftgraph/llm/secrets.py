@@ -205,9 +205,9 @@ def fit_field(features: np.ndarray, tags: np.ndarray, line: np.ndarray, rounds:
     return Field(tables, moves, start)
 
 
-def _lines(data: np.ndarray, starts: np.ndarray, first: np.ndarray, features: np.ndarray) -> np.ndarray:
+def _lines(features: np.ndarray) -> np.ndarray:
     """First token of each line, with the number of tokens at the end."""
-    return np.append(np.flatnonzero(features[5] >= 8), len(starts))
+    return np.append(np.flatnonzero(features[5] >= 8), features.shape[1])
 
 
 def _blocks(texts, known: Features):
@@ -234,6 +234,7 @@ def training_lines(docs: DataFrame, id_col: str, text_col: str, sample_docs: int
     """Lines to fit on, from the sampled documents, as packed arrays: features, tags. A token is
     in a secret if a pattern's value covers it; runs of digits alone are not taken for secrets."""
     ship_code(docs.sparkSession)
+    docs = docs.where(F.col(id_col).isNotNull())
     hashed = docs.select(F.xxhash64(id_col).alias("h"))
     limit = hashed.orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     chosen = docs.where(F.xxhash64(id_col) <= F.lit(limit if limit is not None else 0)).select(F.col(text_col).cast("string").alias("t"))
@@ -264,7 +265,7 @@ def training_lines(docs: DataFrame, id_col: str, text_col: str, sample_docs: int
                         lo, hi = np.searchsorted(ends, s, side="right"), np.searchsorted(starts, e)
                         if lo < hi and not tags[lo:hi].any():
                             tags[lo], tags[lo + 1 : hi] = BEGIN, INSIDE
-                line = _lines(data, starts, first, features)
+                line = _lines(features)
                 some = np.logical_or.reduceat(tags > 0, line[:-1]) if len(line) > 1 else np.zeros(0, dtype=bool)
                 plain = np.flatnonzero(~some)
                 keep = np.sort(np.concatenate([np.flatnonzero(some), plain[:: max(1, len(plain) // max(1, PLAIN_LINES * int(some.sum()) + 2))]]))
@@ -312,7 +313,7 @@ def scan_secrets(docs: DataFrame, field: Field, text_col: str = "text") -> DataF
             for i, data, cuts, starts, ends, first, features, runs in _blocks(texts, known):
                 scores = field.scores(features)
                 open_ = scores[:, OUT] - scores[:, 1:].max(1) <= bound
-                line = _lines(data, starts, first, features)
+                line = _lines(features)
                 added: dict[int, list] = {}
                 busy = np.unique(np.searchsorted(line, np.flatnonzero(open_), side="right") - 1)
                 for k in busy.tolist():
