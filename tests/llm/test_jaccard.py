@@ -64,11 +64,27 @@ def test_dealt_tiles(docs_of, monkeypatch):
     """With small limits, frequent entries are told apart and dealt to several tiles."""
     from weftgraph.llm import jaccard
 
-    for name, value in (("LEAST_FREQUENT", 4), ("LOCAL", 2), ("TILE", 3)):
-        monkeypatch.setattr(jaccard, name, value)
     rows = corpus(4)
-    got = {r.doc_id: r.component_id for r in jaccard_classes(docs_of(rows)).collect()}
-    assert got == brute(rows, 4, 85, 100)
+    want = brute(rows, 4, 85, 100)
+    for limits in ({"LEAST_FREQUENT": 4, "LOCAL": 2, "TILE": 3}, {"BLOCK": 4}):
+        for name, value in limits.items():
+            monkeypatch.setattr(jaccard, name, value)
+        assert {r.doc_id: r.component_id for r in jaccard_classes(docs_of(rows)).collect()} == want
+
+
+def test_blocks_cover_all_pairs():
+    from weftgraph.llm import jaccard
+
+    sizes = np.sort(np.random.default_rng(2).integers(80, 120, 1500))
+    for sides in (np.zeros(1500, dtype=np.int32), np.random.default_rng(3).integers(0, 2, 1500).astype(np.int32)):
+        seen = np.zeros((1500, 1500), dtype=int)
+        for places, own, _ in jaccard._blocks(0, 1500, sizes, sides, 85, 100):
+            assert len(places) <= jaccard.BLOCK and (np.diff(places) > 0).all()
+            cross = np.ones((len(places),) * 2, dtype=bool) if (own == own[0]).all() else own[:, None] != own[None]
+            seen[np.ix_(places, places)] += cross
+        close = 100 * sizes[:, None] >= 85 * sizes[None]
+        need = np.triu(close & close.T & ((sides[:, None] != sides[None]) if sides.any() else True), 1)
+        assert (seen[need] >= 1).all()
 
 
 def test_odd_rows(docs_of):

@@ -48,3 +48,41 @@ def test_stages(spark, docs_of, tmp_path):
     packed = corpus_pipeline.run(spark, folder)
     assert {x.doc_id for x in packed.select("doc_id").collect()} == set(seen["decontaminate"])
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_stages_against_brute_force(spark, con):
+    """On the smallest test tables each stage's rows are those of a plain version of it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tests.llm import test_decontaminate, test_jaccard, test_line_dedup
+    from weftgraph.llm.line_dedup import MIN_PAGES, RATIO
+    from weftgraph.llm.toxicity import fit_chain
+
+    folder = con[1]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    items = [tuple(x) for x in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted((x.doc_id, x.text, x.source) for x in df.collect())
+
+    now = rows(docs)
+    chain = fit_chain(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    p = chain.predict(pa.array([t for _, t, _ in now]))
+    want = [r for r, toxic in zip(now, p[:, 1] > chain.cuts[1], strict=True) if not toxic]
+    assert np.ptp(p[:, 1]) > 0.1
+    got = stages["toxicity"](spark, docs, folder)
+    assert rows(got) == want
+
+    text = dict(test_line_dedup.brute(want, RATIO, MIN_PAGES))
+    want = [(i, text[i], s) for i, _, s in want]
+    got = stages["line_dedup"](spark, got, folder)
+    assert rows(got) == want
+
+    root = test_jaccard.brute([(i, t) for i, t, _ in want], 5, 80, 100)
+    want = [r for r in want if root[r[0]] == r[0]]
+    got = stages["ngram_jaccard"](spark, got, folder)
+    assert rows(got) == want
+
+    found = test_decontaminate.brute([(i, t) for i, t, _ in want], items)
+    want = [r for r in want if not found[r[0]][3]]
+    assert rows(stages["decontaminate"](spark, got, folder)) == want
