@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bytewords import mix, nonspace_words, run_hashes, runs_per_text
 from .cluster import keep_probable, save, ship_code
@@ -31,8 +30,10 @@ LEAST_FREQUENT = 64
 #: times among them.
 COUNTED = 4_000_000
 LOCAL = 4
-#: Classes that one tile is expected to have at most; a frequent entry is dealt to more tiles.
+#: Classes that one task is expected to gather for an entry; a frequent entry is dealt to more tasks.
 TILE = 4096
+#: Classes of a tile; longer lists are cut into blocks of half as many, which meet in pairs.
+BLOCK = 512
 #: Bits of a signature for each member of a set, and the most bits. With one bit for a member the
 #: bound tells most pairs below a similarity of 0.82 from those of 0.85.
 BITS_PER_MEMBER = 1
@@ -177,10 +178,29 @@ def _groups(batches, keys: list[str]):
         yield held, np.array([0, len(held)])
 
 
+def _blocks(begin: int, end: int, sizes: np.ndarray, sides: np.ndarray, num: int, den: int):
+    """A list of classes as tiles of BLOCK: (places, sides, defer). Blocks of half a tile are
+    compared within and with each other; pairs of blocks but for those with the first are deferred,
+    to be looked at when the others' links are known."""
+    half = BLOCK // 2
+    cuts = [*range(begin, end, half), end]
+    one_side = (sides[begin:end] == sides[begin]).all()
+    for i in range(len(cuts) - 1):
+        own = np.arange(cuts[i], cuts[i + 1])
+        yield own, sides[own], False
+        for j in range(i + 1, len(cuts) - 1):
+            if den * sizes[own[-1]] < num * sizes[cuts[j]]:
+                break
+            other = np.arange(cuts[j], cuts[j + 1])
+            both = np.concatenate([own, other])
+            # Classes of two sides stay so; of one side, a block is a side.
+            yield both, np.repeat(np.array([0, 1], dtype=sides.dtype), [len(own), len(other)]) if one_side else sides[both], i > 0
+
+
 def tile_lists(postings: DataFrame, num: int, den: int) -> DataFrame:
     """Tiles from postings (g, i, j, side, id, n): lists of classes, cut where sizes are too far
-    apart, each list once. Tiles of a dealt entry hold a side for each class: only classes of
-    different sides are to be compared, or all if there is one side."""
+    apart and into blocks, each list once. Tiles of a dealt entry, and of two blocks, hold a side
+    for each class: only classes of different sides are to be compared, or all if there is one."""
 
     def run(batches):
         import pyarrow as pa
@@ -190,25 +210,33 @@ def tile_lists(postings: DataFrame, num: int, den: int) -> DataFrame:
             sides = table.column("side").to_numpy()
             # Within an entry rows are sorted by size; a tile ends where the next size is too large.
             cut = np.zeros(len(ids), dtype=bool)
-            cut[starts[:-1] if starts[-1] == len(ids) else starts] = True
-            cut[0] = True
+            cut[starts[:-1]] = True
             cut[1:] |= den * sizes[:-1] < num * sizes[1:]
             begin = np.flatnonzero(cut)
             end = np.append(begin[1:], len(ids))
             many = end - begin > 1
             begin, end = begin[many], end[many]
-            if not len(begin):
+            whole = end - begin <= BLOCK
+            keep = [np.arange(a, b) for a, b in zip(begin[whole].tolist(), end[whole].tolist(), strict=True)]
+            own = [sides[k] for k in keep]
+            defer = [False] * len(keep)
+            for a, b in zip(begin[~whole].tolist(), end[~whole].tolist(), strict=True):
+                for k, side, later in _blocks(a, b, sizes, sides, num, den):
+                    keep.append(k)
+                    own.append(side)
+                    defer.append(later)
+            if not keep:
                 continue
-            mixed = mix(ids.view(np.uint64) * np.uint64(2) + sides.astype(np.uint64) + np.uint64(0x51ED27))
-            k1 = np.add.reduceat(mixed, np.column_stack([begin, end]).ravel()[: 2 * len(begin) - (end[-1] == len(ids))])[0::2]
-            k2 = np.bitwise_xor.reduceat(mix(mixed), np.column_stack([begin, end]).ravel()[: 2 * len(begin) - (end[-1] == len(ids))])[0::2]
-            keep = np.concatenate([np.arange(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
-            cuts = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[keep])) for x in (ids, sides)]
-            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *lists], names=["k1", "k2", "ids", "sides"])
+            cuts = np.concatenate([[0], np.cumsum([len(k) for k in keep])])
+            keep, own = np.concatenate(keep), np.concatenate(own)
+            mixed = mix(ids[keep].view(np.uint64) * np.uint64(2) + own.astype(np.uint64) + np.uint64(0x51ED27))
+            k1, k2 = np.add.reduceat(mixed, cuts[:-1]), np.bitwise_xor.reduceat(mix(mixed), cuts[:-1])
+            lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x)) for x in (ids[keep], own)]
+            columns = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *lists, pa.array(defer)]
+            yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "ids", "sides", "defer"])
 
-    lists = postings.mapInArrow(run, "k1 long, k2 long, ids array<long>, sides array<int>")
-    return lists.groupBy("k1", "k2").agg(F.first("ids").alias("ids"), F.first("sides").alias("sides"))
+    lists = postings.mapInArrow(run, "k1 long, k2 long, ids array<long>, sides array<int>, defer boolean")
+    return lists.groupBy("k1", "k2").agg(F.first("ids").alias("ids"), F.first("sides").alias("sides"), F.min("defer").alias("defer"))
 
 
 class Tile:
@@ -347,20 +375,25 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         entries = entries.select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "n")
     sorted_entries = entries.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "n", "id", "side")
-    lists = tile_lists(sorted_entries, num, den).select("k1", "k2", F.explode(F.arrays_zip("ids", "sides")).alias("m")).select("k1", "k2", F.col("m.ids").alias("id"), F.col("m.sides").alias("side"))
+    lists = tile_lists(sorted_entries, num, den).select("k1", "k2", "defer", F.explode(F.arrays_zip("ids", "sides")).alias("m"))
+    lists = lists.select("k1", "k2", "defer", F.col("m.ids").alias("id"), F.col("m.sides").alias("side"))
     members = save(lists, "tiles")
     signed = reps.select("id", "n", "bits")
 
     def sorted_tiles(rows: DataFrame) -> DataFrame:
         return rows.select("k1", "k2", "id", "n", "side", "bits", "comp").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "n", "id", "side")
 
-    found = save(candidate_pairs(sorted_tiles(members.join(signed, "id").withColumn("comp", F.col("id"))), num, den, all_pairs=False), "first-pairs")
+    found = save(candidate_pairs(sorted_tiles(members.where("not defer").join(signed, "id").withColumn("comp", F.col("id"))), num, den, all_pairs=False), "first-pairs")
     first = found.where("not open").select("a", "b")
     links = save(verify(first, src, n, num, den), "first-links")
     comp = connected_components(links)
-    # Tiles where something is left: those with a class that had a choice of partners.
-    some = members.join(found.where("open").select(F.col("a").alias("k1"), F.col("b").alias("k2")), ["k1", "k2"], "left_semi")
-    some = some.join(comp.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    # Tiles where something may be left: those with a class that had a choice of partners and those
+    # put off, as far as they have classes of two components.
+    chosen = members.where("not defer").join(found.where("open").select(F.col("a").alias("k1"), F.col("b").alias("k2")), ["k1", "k2"], "left_semi")
+    some = chosen.unionByName(members.where("defer")).join(comp.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    some = save(some.select("k1", "k2", "id", "side", "comp"), "tiles-left")
+    apart = some.groupBy("k1", "k2").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("k1", "k2")
+    some = some.join(apart, ["k1", "k2"], "left_semi")
     rest = candidate_pairs(sorted_tiles(some.join(signed, "id")), num, den, all_pairs=True).select("a", "b").join(first, ["a", "b"], "left_anti")
     rest = save(rest, "other-pairs")
     more = save(verify(rest, src, n, num, den), "other-links")
