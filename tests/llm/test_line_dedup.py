@@ -41,3 +41,27 @@ def test_columns_and_empty(docs_of):
 def test_counts(docs_of):
     rows = {r.doc_id: (r._n_lines, r._n_dropped) for r in line_dedup(docs_of(ROWS), F.col("source"), ratio=0.4, min_pages=3).collect()}
     assert rows[0] == (5, 3) and rows[30] == (0, 0) and rows[31] == (1, 0) and rows[20] == (2, 1)
+
+
+def dropped_by_host(spark, docs_of, tmp_path, hosts):
+    """Pages on which the registered query drops a line, for hosts {name: (pages, pages with the line)}."""
+    from weftgraph.llm import registry
+
+    rows, i = [], 0
+    for host, (pages, having) in hosts.items():
+        for k in range(pages):
+            rows.append((i, f"body {i}" + ("\nall rights" if k < having else ""), host))
+            i += 1
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    source = {r[0]: r[2] for r in rows}
+    got = Counter()
+    for r in registry.queries()["op10_line_dedup_share"](spark, str(tmp_path)).collect():
+        got[source[r.doc_id]] += r.n_dropped
+        assert r.text.startswith("body") and not (r.n_dropped and "all rights" in r.text)
+    return got
+
+
+def test_small_and_large_hosts(spark, docs_of, tmp_path):
+    """The same share goes on a site of any size; fewer pages than guard against chance stay."""
+    hosts = {"ten": (10, 3), "fifty": (50, 11), "large": (500, 66), "every page": (4, 4), "chance": (4, 2), "ordinary": (500, 24)}
+    assert dropped_by_host(spark, docs_of, tmp_path, hosts) == {"ten": 3, "fifty": 11, "large": 66, "every page": 4, "chance": 0, "ordinary": 0}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 RATIO = 0.1
 #: ... if at least so many pages of the site have it.
 MIN_PAGES = 20
+#: Where the share decides on sites of any size: so many pages guard against chance alone.
+CHANCE_PAGES = 3
 #: So many (site, line) pairs at most are broadcast, 16 bytes each; beyond that they are joined.
 BROADCAST_LINES = 200_000
 #: Tasks over which a site's pages are spread when the lines are joined.

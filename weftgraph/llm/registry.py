@@ -11,7 +11,7 @@ from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_classes
 from .language import fit_languages, identify
-from .line_dedup import line_dedup
+from .line_dedup import CHANCE_PAGES, line_dedup
 from .packing import pack
 from .pii import scan_pii
 from .secrets import fit_secrets, scan_secrets
@@ -108,6 +108,16 @@ UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 
+def op10_line_dedup_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_line_dedup, but the share decides on sites of any size."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    cleaned = line_dedup(docs, host=F.col("source"), min_pages=CHANCE_PAGES)
+    return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+
+
+OP10_SHARE_SQL = OP10_SQL.replace(">= 20 AND", ">= 3 AND")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -185,8 +195,9 @@ def queries() -> dict:
         "op8_language": op8_language,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_line_dedup": op10_line_dedup,
+        "op10_line_dedup_share": op10_line_dedup_share,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_line_dedup": OP10_SQL, "op10_line_dedup_share": OP10_SHARE_SQL}
