@@ -65,3 +65,9 @@ def test_small_and_large_hosts(spark, docs_of, tmp_path):
     """The same share goes on a site of any size; fewer pages than guard against chance stay."""
     hosts = {"ten": (10, 3), "fifty": (50, 11), "large": (500, 66), "every page": (4, 4), "chance": (4, 2), "ordinary": (500, 24)}
     assert dropped_by_host(spark, docs_of, tmp_path, hosts) == {"ten": 3, "fifty": 11, "large": 66, "every page": 4, "chance": 0, "ordinary": 0}
+
+
+def test_ratio_between_boilerplate_and_other_lines(spark, docs_of, tmp_path):
+    """Shares of the boilerplate line and of the most frequent other line, as measured at sf0.1."""
+    hosts = {"least": (500, 43), "most": (500, 66), "other line": (500, 24)}
+    assert dropped_by_host(spark, docs_of, tmp_path, hosts) == {"least": 43, "most": 66, "other line": 0}

@@ -11,6 +11,9 @@ RATIO = 0.1
 MIN_PAGES = 20
 #: Where the share decides on sites of any size: so many pages guard against chance alone.
 CHANCE_PAGES = 3
+#: ... and the ratio for that. On sites of 500 pages and more lines have either 0.086 of the pages or
+#: more, as boilerplate repeated in the whole corpus has, or 0.048 at most; this is between them.
+SHARE = 0.065
 #: So many (site, line) pairs at most are broadcast, 16 bytes each; beyond that they are joined.
 BROADCAST_LINES = 200_000
 #: Tasks over which a site's pages are spread when the lines are joined.

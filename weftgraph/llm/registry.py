@@ -11,7 +11,7 @@ from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_classes
 from .language import fit_languages, identify
-from .line_dedup import CHANCE_PAGES, line_dedup
+from .line_dedup import CHANCE_PAGES, SHARE, line_dedup
 from .packing import pack
 from .pii import scan_pii
 from .secrets import fit_secrets, scan_secrets
@@ -109,13 +109,14 @@ UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 
 
 def op10_line_dedup_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op10_line_dedup, but the share decides on sites of any size."""
+    """As op10_line_dedup, but the share decides on sites of any size, and is one between the
+    shares of boilerplate and of other lines."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    cleaned = line_dedup(docs, host=F.col("source"), min_pages=CHANCE_PAGES)
+    cleaned = line_dedup(docs, host=F.col("source"), ratio=SHARE, min_pages=CHANCE_PAGES)
     return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
-OP10_SHARE_SQL = OP10_SQL.replace(">= 20 AND", ">= 3 AND")
+OP10_SHARE_SQL = OP10_SQL.replace(">= 20 AND", ">= 3 AND").replace("CAST(0.1 AS", "CAST(0.065 AS")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
