@@ -41,3 +41,13 @@ def test_known_counts(spark, con):
     known = {"g1_chain": 5942, "g2_cycle": 194, "g3_triangle": 846, "g4_star": 23451, "g5_neq": 105852, "g6_twohop": 183629, "g7_optional": 23478, "g8_not": 802, "g9_not_knows": 84295}
     for name, n in known.items():
         assert queries.queries()[name](spark, FOLDER).first()["match_count"] == n
+
+
+def test_dense_ids_of_whole_tables(spark, con):
+    """Every vertex has a number, the orders too that s5_dense_ids leaves out."""
+    got = queries.queries()["s5_dense_ids_whole"](spark, FOLDER).toPandas()
+    keys = con.execute("SELECT count(DISTINCT o_orderkey), max(o_orderkey) FROM orders").fetchone()
+    first = queries._LABELS.index("Order") << 40
+    orders = got[(got.id >= first) & (got.id < first + (1 << 40))]
+    assert len(orders) == keys[0] and orders.id.max() - first == keys[1] and (orders.id % 3).nunique() == 3
+    assert sorted(got.dense) == list(range(len(got))) and got.id.max() > len(got)

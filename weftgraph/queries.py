@@ -175,6 +175,15 @@ def _renumbered(spark: SparkSession, folder: str) -> DataFrame:
     return dense_ids(keys, width=1000)
 
 
+def _renumbered_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Global ids of all vertices, which have a gap after each label."""
+    g = graph(spark, folder)
+    ids = g.vertices(_LABELS[0])
+    for x in _LABELS[1:]:
+        ids = ids.unionByName(g.vertices(x))
+    return dense_ids(ids, width=1000)
+
+
 def _match_rows(spark: SparkSession, folder: str) -> DataFrame:
     return PatternEngine(graph(spark, folder)).match(Pattern.of(*PATTERNS["g2_cycle"]), ["c", "o", "s", "n"])
 
@@ -209,6 +218,7 @@ _LABELS = ["Customer", "EventType", "Nation", "Order", "Part", "Region", "Suppli
 
 GRAPH_QUERIES = {
     "s5_dense_ids": _renumbered,
+    "s5_dense_ids_whole": _renumbered_whole,
     "s13_vertices_of_super_label": lambda s, d: graph(s, d).vertices("Party").select(raw_id(F.col("id")).alias("id"), label_of(F.col("id"), _LABELS).alias("label")),
     "s15_edge_set": lambda s, d: _raw(graph(s, d).edges("CONTAINS"), "src", "dst"),
     "s16_summary": lambda s, d: graph(s, d).summary(),
@@ -240,8 +250,14 @@ _EDGE_SQL = {
 }
 _VERTEX_SQL = {"Customer": "customer", "EventType": "types", "Nation": "nation", "Order": "orders", "Part": "part", "Region": "region", "Supplier": "supplier"}
 
+_KEY_SQL = {"Customer": "c_custkey", "EventType": "id", "Nation": "n_nationkey", "Order": "o_orderkey", "Part": "p_partkey", "Region": "r_regionkey", "Supplier": "s_suppkey"}
+
 GRAPH_SQL = {
     "s5_dense_ids": "SELECT id, row_number() OVER (ORDER BY id) - 1 AS dense FROM (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0)",
+    "s5_dense_ids_whole": _WITH
+    + "SELECT id, row_number() OVER (ORDER BY id) - 1 AS dense FROM ("
+    + " UNION ".join(f"SELECT CAST({_KEY_SQL[x]} AS BIGINT) + {i} * 1099511627776 AS id FROM {_VERTEX_SQL[x]} WHERE {_KEY_SQL[x]} IS NOT NULL" for i, x in enumerate(_LABELS))
+    + ")",
     "s13_vertices_of_super_label": f"SELECT id, kind AS label FROM {_PARTY}",
     "s15_edge_set": f"SELECT o AS src, p AS dst FROM {_CONTAINS}",
     "s16_summary": _WITH
