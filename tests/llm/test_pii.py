@@ -44,6 +44,25 @@ def test_added_spans():
     assert "account" not in kinds("on account of the rain: 12")
 
 
+def test_accounts_in_prose():
+    a = anchors()
+    found = lambda t: [t[x:y] for k, x, y in find_pii(t, a) if k == "account"]
+    for text, value in (
+        ("account 12345678 was", "12345678"),
+        ("my account number is 12345678.", "12345678"),
+        ("SSN 123-45-6789", "123-45-6789"),
+        ("ssn: 123 45 6789, born", "123 45 6789"),
+        ("IBAN DE89370400440532013000", "DE89370400440532013000"),
+        ("IBAN: DE89 3704 0044 0532 0130 00 is mine", "DE89 3704 0044 0532 0130 00"),
+        ("iban: GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32"),
+        ("account: 1234 5678 9012 on 3 May", "1234 5678 9012"),
+        ("Konto: 12345678 10.0.0.1", "12345678"),
+    ):
+        assert found(text) == [value], text
+    for text in ("IBAN DE89370400440532013001", "SSN 000-45-6789", "SSN 666-45-6789", "SSN 912-45-6789", "SSN 123-00-6789", "SSN 123-45-0000", "account 2024 was", "accounting 12345678", "on account of 12345678"):
+        assert found(text) == [], text
+
+
 def test_query_columns(docs_of):
     texts = [None, "", "ünï a@b.co und 10.0.0.1, +49 (30) 123456-7", "4539 1488 0343 6467 " * 3, "x" * 200_000 + " me@site.org", "a@b@c.de"]
     df = docs_of(list(enumerate(texts))).withColumn("_spans", F.lit(1)).withColumn("n_ip", F.lit(2))

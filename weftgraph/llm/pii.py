@@ -28,7 +28,14 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"://[^\s/?#@:]+:[^\s/?#@]+@[^\s/?#@]+")
-_ACCOUNT = re.compile(r"(?:[ ]?(?:number|no|nr|num|id)\b\.?)?[ ]{0,2}[:=#][ ]{0,2}([A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,33})")
+#: What may stand between a cue and its value: a sign, or only blanks or "is".
+_BETWEEN = re.compile(r"(?:[ ]?(?:number|no|nr|num|id)\b\.?)?(?:[ ]{0,2}([:=#])[ ]{0,2}|[ ]{1,2}(?:is[ ]{1,2})?)")
+_ACCOUNT = re.compile(r"[A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,33}")
+_GROUPED = re.compile(r"[A-Za-z]{0,4}[0-9]{1,12}(?:[ -][0-9]{2,12}){1,8}(?![A-Za-z0-9]|[.,][0-9])")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]{4}){2,7}(?:[ -]?[A-Za-z0-9]{1,3})?")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}([ -]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![A-Za-z0-9])")
+#: Digits of a value that no sign announces.
+LEAST_DIGITS = 6
 
 
 def luhn(digits: str) -> bool:
@@ -37,6 +44,34 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(2 * d - 9 * (d > 4) for d in map(int, even))) % 10 == 0
 
 
+def iban(text: str) -> bool:
+    """Whether the two digits after the country check what follows."""
+    bare = text.replace(" ", "").replace("-", "")
+    return 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def account_value(text: str, cue: str, at: int) -> tuple[int, int] | None:
+    """Start and end of the identifier that the cue ending at `at` announces, if it is valid."""
+    between = _BETWEEN.match(text, at)
+    if not between:
+        return None
+    at = between.end()
+    if cue == "iban":
+        if m := _IBAN.match(text, at):
+            for end in range(m.end(), at + 14, -1):
+                if not text[end : end + 1].isalnum() and text[end - 1].isalnum() and iban(text[at:end]):
+                    return at, end
+        return None
+    if cue == "ssn":
+        m = _SSN.match(text, at)
+        return m and m.span()
+    found = [m for p in (_ACCOUNT, _GROUPED) if (m := p.match(text, at)) and m.end() - at >= 5]
+    m = max(found, key=lambda m: m.end(), default=None)
+    if m and not between[1] and sum(c in "0123456789" for c in m[0]) < LEAST_DIGITS:
+        return None
+    return m and m.span()
+
+
 def anchors():
     """The automaton: a digit or sign stands for itself, a cue for `cue`."""
     import ahocorasick
@@ -96,9 +131,9 @@ def find_pii(text: str, automaton) -> list[Span]:
                 if start < at:
                     login_end = m.end()
                     out.append(("login", start, login_end))
-        elif at >= account_end and not (at and text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)):
-            account_end = m.end(1)
-            out.append(("account", m.start(1), account_end))
+        elif at >= account_end and not (at and text[at - 1].isalnum()) and (span := account_value(text, ascii_lower(text[at : last + 1]), last + 1)):
+            account_end = span[1]
+            out.append(("account", *span))
     return out
 
 
