@@ -94,6 +94,17 @@ def test_odd_rows(docs_of):
     assert jaccard_classes(docs_of(rows).where("false")).count() == 0
 
 
+def test_versions_of_one_id(docs_of):
+    """Texts of equally many shingles under one id keep the links of each, and link what is equal to them."""
+    r = random.Random(8)
+    x, y, z = ([f"{c}{i}" for i in r.sample(range(900), 60)] for c in "xyz")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(10, " ".join(x)), (10, " ".join(y)), (20, near(x)), (21, near(y)), (5, " ".join(z)), (30, " ".join(z)), (30, " ".join(x[::-1])), (31, near(x[::-1]))]
+    for order in (rows, rows[::-1]):
+        got = {(i.doc_id, i.component_id) for i in jaccard_classes(docs_of(order)).collect()}
+        assert got == set(brute(rows, 4, 85, 100).items()) == {(10, 10), (20, 10), (21, 10), (5, 5), (30, 5), (31, 5)}
+
+
 def test_signatures_bound_the_difference():
     r = np.random.default_rng(1)
     for _ in range(200):

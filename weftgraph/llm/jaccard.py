@@ -360,7 +360,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = known.where("id is not null and n > 0")
     classes = save(named.select("h1", "h2", "id").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     # One document of each class goes on.
-    reps = save(named.join(classes.select(F.col("rep").alias("id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "id").where("h1 = _h1 and h2 = _h2").select("id", "n", "prefix", "bits").dropDuplicates(["id", "n"]), "classes-features")
+    reps = save(named.join(classes.select(F.col("rep").alias("id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "id").where("h1 = _h1 and h2 = _h2").select("id", "n", "h1", "h2", "prefix", "bits").dropDuplicates(["id", "h1", "h2"]), "classes-features")
+    # Versions of one document are linked: an id of several classes, with the document of each.
+    own = F.struct("h1", "h2")
+    several = named.groupBy("id").agg(F.min(own).alias("c0"), F.max(own).alias("c1")).where("c0 <> c1").select("id")
+    versions = named.select("id", "h1", "h2").join(several, "id", "left_semi").join(classes, ["h1", "h2"]).where("id <> rep")
+    versions = save(versions.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "versions")
 
     # An entry expected to have more classes than a tile holds is dealt: each class has a part, and
     # parts meet in pairs.
@@ -386,7 +391,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = save(candidate_pairs(sorted_tiles(members.where("not defer").join(signed, "id").withColumn("comp", F.col("id"))), num, den, all_pairs=False), "first-pairs")
     first = found.where("not open").select("a", "b")
     links = save(verify(first, src, n, num, den), "first-links")
-    comp = connected_components(links)
+    comp = connected_components(links.unionByName(versions))
     # Tiles where something may be left: those with a class that had a choice of partners and those
     # put off, as far as they have classes of two components.
     chosen = members.where("not defer").join(found.where("open").select(F.col("a").alias("k1"), F.col("b").alias("k2")), ["k1", "k2"], "left_semi")
