@@ -1,12 +1,11 @@
-"""What operators need of the cluster: a shared place for intermediate tables, their own code on
-every executor, and a filter of bounded size for large sets of ids."""
+"""What operators need of the cluster: their own code on every executor, a filter of bounded size
+for large sets of ids, and column names that clash with none of a table's."""
 
 from __future__ import annotations
 
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,25 +13,9 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CHECKPOINTS = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares. One is made only where the session names none (tests)."""
-    named = spark.conf.get(_CHECKPOINTS, None) or spark.sparkContext.getConf().get(_CHECKPOINTS)
-    if not named:
-        named = os.environ.setdefault("WEFTGRAPH_SCRATCH", tempfile.mkdtemp(prefix="weftgraph-"))
-    return named.rstrip("/")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage is cut, and an executor lost
-    later costs nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from weftgraph.sources.shared import Scratch, save
 
+__all__ = ["Scratch", "add_columns", "anti_join", "fold_ascii", "fresh", "keep_probable", "mark_probable", "named", "numbered", "save", "ship_code", "without"]
 
 #: Rows of an Arrow batch. Spark's own number is 10,000, which is too much for long texts: a worker
 #: and the JVM each hold a whole batch.
@@ -67,48 +50,69 @@ def fold_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores after those that df has columns of already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, **more: Column) -> DataFrame:
+    """df with its columns named by place, c0, c1 and so on, and with `more` columns over df. No
+    column that an operator adds for itself can clash with one of these."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], *[e.alias(n) for n, e in more.items()])
+
+
+def named(out: DataFrame, df: DataFrame, *more: str) -> DataFrame:
+    """The columns of df by their own names, from rows that numbered(df) has led to, and `more`."""
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], *more)
+
+
 #: Bits of the largest id filter: its table has at most 2**17 rows of two longs.
 FILTER_BITS = 1 << 23
 
 
-def keep_probable(df: DataFrame, key: Column, members: DataFrame, member: Column) -> DataFrame:
-    """Rows of df whose key may be in `members`: every one that is, and few others.
+def mark_probable(df: DataFrame, key: Column, members: DataFrame, member: Column, name: str) -> DataFrame:
+    """df with a column `name` that says whether the key may be in `members`: true for every one
+    that is, and for few others. A null key is in nothing, null members count for nothing.
 
     A one-hash Bloom filter made of built-in functions. Its table has FILTER_BITS / 64 rows
     whatever the number of members, so it can always be broadcast; with too many members it lets
     more rows through, never fewer.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    slot = lambda c: F.when(c.isNotNull(), F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)))
+    at, word, bits = fresh(df, "_slot", "_word", "_bits")
     words = (
-        members.select(slot(member).alias("_slot"))
-        .groupBy(F.shiftright("_slot", 6).alias("_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 as int))")).alias("_bits"))
+        members.select(slot(member).alias(at))
+        .where(F.col(at).isNotNull())
+        .groupBy(F.shiftright(at, 6).alias(word))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} % 64 as int))")).alias(bits))
     )
-    probed = df.withColumn("_slot", slot(key)).withColumn("_word", F.shiftright("_slot", 6))
-    hit = F.expr("(shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1L")
-    return probed.join(F.broadcast(words), "_word").where(hit).drop("_slot", "_word", "_bits")
+    probed = df.withColumn(at, slot(key)).withColumn(word, F.shiftright(at, 6))
+    hit = F.expr(f"coalesce((shiftrightunsigned({bits}, cast({at} % 64 as int)) & 1L) = 1L, false)")
+    joined = probed.join(F.broadcast(words), word, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], hit.alias(name))
 
 
-def mark_probable(df: DataFrame, key: Column, members: DataFrame, member: Column, name: str) -> DataFrame:
-    """Like keep_probable(), but keeps all rows and says in column `name` which it would keep."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = (
-        members.select(slot(member).alias("_slot"))
-        .groupBy(F.shiftright("_slot", 6).alias("_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 as int))")).alias("_bits"))
-    )
-    probed = df.withColumn("_slot", slot(key)).withColumn("_word", F.shiftright("_slot", 6))
-    hit = F.expr("coalesce((shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1L, false)")
-    return probed.join(F.broadcast(words), "_word", "left").withColumn(name, hit).drop("_slot", "_word", "_bits")
+def keep_probable(df: DataFrame, key: Column, members: DataFrame, member: Column) -> DataFrame:
+    """Rows of df whose key may be in `members`: every one that is, and few others."""
+    (probable,) = fresh(df, "_probable")
+    return mark_probable(df, key, members, member, probable).where(F.col(probable)).drop(probable)
 
 
 def anti_join(df: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
     """Rows of df whose key is not among `members`, which has each once. Only rows that pass the
     filter of probable members are shuffled; the others go through as they are read."""
-    marked = mark_probable(df, F.col(key), members, F.col(member), "_probable")
-    sure = marked.where("not _probable").drop("_probable")
-    rest = marked.where("_probable").drop("_probable")
-    return sure.unionByName(rest.join(members.select(F.col(member).alias("_member")), F.col(key) == F.col("_member"), "left_anti"))
+    probable, own = fresh(df, "_probable", "_member")
+    marked = mark_probable(df, F.col(f"`{key}`"), members, F.col(member), probable)
+    sure = marked.where(~F.col(probable)).drop(probable)
+    rest = marked.where(F.col(probable)).drop(probable)
+    return sure.unionByName(rest.join(members.select(F.col(member).alias(own)), F.col(f"`{key}`") == F.col(own), "left_anti"))
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_classes
 from .language import fit_languages, identify
-from .line_dedup import CHANCE_PAGES, SHARE, line_dedup
+from .line_dedup import line_dedup
 from .packing import pack
 from .pii import scan_pii
 from .secrets import fit_secrets, scan_secrets
@@ -99,8 +99,8 @@ WITH l AS (
         FROM (SELECT doc_id, row_number() OVER () AS rid, coalesce(source, '') AS host, string_split(text, chr(10)) AS lines FROM documents))),
 b AS (
   SELECT host, bare FROM l WHERE bare <> '' GROUP BY host, bare
-  HAVING count(DISTINCT rid) >= 20 AND count(DISTINCT rid) >
-    CAST(0.1 AS DOUBLE) * (SELECT count(*) FROM documents d WHERE coalesce(d.source, '') = l.host))
+  HAVING count(DISTINCT rid) >= 2 AND count(DISTINCT rid) >
+    CAST(0.065 AS DOUBLE) * (SELECT count(*) FROM documents d WHERE coalesce(d.source, '') = l.host))
 SELECT doc_id, count(*) AS n_lines, count(b.bare) AS n_dropped,
        coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE b.bare IS NULL), '') AS text
 FROM l LEFT JOIN b ON l.host = b.host AND l.bare = b.bare GROUP BY doc_id, rid
@@ -108,17 +108,6 @@ UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 
-def op10_line_dedup_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op10_line_dedup, but the share decides on sites of any size, and is one between the
-    shares of boilerplate and of other lines."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    cleaned = line_dedup(docs, host=F.col("source"), ratio=SHARE, min_pages=CHANCE_PAGES)
-    return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
-
-
-OP10_SHARE_SQL = OP10_SQL.replace(">= 20 AND", ">= 3 AND").replace("CAST(0.1 AS", "CAST(0.065 AS")
-
-
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -196,9 +185,8 @@ def queries() -> dict:
         "op8_language": op8_language,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_line_dedup": op10_line_dedup,
-        "op10_line_dedup_share": op10_line_dedup_share,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_line_dedup": OP10_SQL, "op10_line_dedup_share": OP10_SHARE_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_line_dedup": OP10_SQL}
