@@ -36,3 +36,32 @@ def test_empty_and_carry(docs_of):
 def test_no_python_in_plan(docs_of):
     plan = exact_dedup(docs_of([(1, "a")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_very_long_and_tied_prefixes(docs_of):
+    """Texts of a megabyte that differ in the last character, and equal lengths with unequal prefixes."""
+    long = "ab" * 500_000
+    rows = [(1, long + "x"), (2, long + "y"), (3, (long + "x").upper()), (4, "p" * 300), (5, "q" * 300), (6, "p" * 299 + "q"), (7, "P" * 300)]
+    assert [r[:3] for r in result(exact_dedup(docs_of(rows)))] == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 7, 2), (5, 5, 1), (6, 6, 1), (7, 7, 2)]
+
+
+def test_each_step_reads_only_what_the_one_before_left(docs_of, monkeypatch):
+    """Prefixes are hashed behind the filter of repeated lengths, and full texts behind that of
+    repeated prefixes."""
+    from weftgraph.llm import exact_dedup as module
+
+    plans, save = {}, module.Scratch.save
+
+    def noted(self, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return save(self, df, name)
+
+    monkeypatch.setattr(module.Scratch, "save", noted)
+    rows = [(1, "aa"), (2, "ab"), (3, "abc"), (4, "aa")]
+    assert [r[:3] for r in result(exact_dedup(docs_of(rows)))] == [(1, 4, 2), (2, 2, 1), (3, 3, 1), (4, 4, 2)]
+    assert "xxhash64(substring" not in plans["lengths"] and "sha2" not in plans["lengths"] + plans["prefixes"]
+    lines = plans["prefixes"].splitlines()
+    hashed = next(i for i, x in enumerate(lines) if "xxhash64(substring" in x)
+    probe = next(i for i, x in enumerate(lines) if "Join" in x)
+    assert hashed < probe and any("Filter" in x for x in lines[hashed:probe])
+    assert "CASE WHEN _longer" in plans["full-hashes"] and "CASE WHEN _again" in plans["full-hashes"]
