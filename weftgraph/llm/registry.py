@@ -68,21 +68,23 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH t AS (
-  SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  SELECT DISTINCT conv_id, turn IS NOT NULL AS numbered, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
 g AS (
-  SELECT conv_id, turn, count(*) AS n, string_agg(turn || chr(1) || role || chr(2) || text, chr(3) ORDER BY role, text) AS s,
-         string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY role, text) AS r
-  FROM t GROUP BY conv_id, turn),
+  SELECT conv_id, numbered, turn, count(*) AS n, string_agg(numbered || chr(1) || turn || chr(1) || role || chr(2) || text, chr(3) ORDER BY role, text) AS s
+  FROM t GROUP BY conv_id, numbered, turn),
 p AS (
-  SELECT conv_id, turn, sum(n) OVER w AS n, string_agg(s, chr(4)) OVER w AS prefix,
-         turn = max(turn) OVER (PARTITION BY conv_id) AS is_last
-  FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  SELECT conv_id, sum(n) OVER w AS n, string_agg(s, chr(4)) OVER w AS prefix,
+         row_number() OVER (PARTITION BY conv_id ORDER BY numbered DESC, turn DESC) = 1 AS is_last
+  FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY numbered, turn)),
 kept AS (
   SELECT min(conv_id) AS conv_id, min(n) AS n_turns FROM p
-  WHERE is_last AND prefix NOT IN (SELECT prefix FROM p WHERE NOT is_last) GROUP BY prefix)
-SELECT conv_id, CAST(floor(turn / 256.0) AS BIGINT) AS part, CAST(n_turns AS BIGINT) AS n_turns, string_agg(r, '' ORDER BY turn) AS rendered
-FROM g JOIN kept USING (conv_id) GROUP BY 1, 2, 3
+  WHERE is_last AND prefix NOT IN (SELECT prefix FROM p WHERE NOT is_last) GROUP BY prefix),
+r AS (
+  SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, row_number() OVER (PARTITION BY conv_id ORDER BY numbered, turn, role, substr(text, 1, 64), md5(text)) - 1 AS place,
+         '<|' || role || '|>' || chr(10) || text || chr(10) AS line
+  FROM t JOIN kept USING (conv_id))
+SELECT conv_id, CAST(place // 256 AS BIGINT) AS part, n_turns, string_agg(line, '' ORDER BY place) AS rendered FROM r GROUP BY 1, 2, 3
 """
 
 
