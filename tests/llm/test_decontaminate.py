@@ -65,3 +65,56 @@ def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r._n_hit for r in find_contamination(docs_of([(1, "a")]), none).collect()] == [0]
     assert find_contamination(docs_of([(1, "a")]).where("false"), none).count() == 0
+
+
+def test_long_items_in_pieces_and_five_blocks(spark, docs_of, monkeypatch):
+    """Items that are split lose no window, and hits from several blocks are put together."""
+    from weftgraph.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "PIECE_WORDS", 15)
+    r = random.Random(4)
+    words_ = [f"w{i}" for i in range(400)]
+    items = [(1, " ".join(words_)), (1, " ".join(words_)), (2, " ".join(words_[100:140])), (3, "w7 w8"), (4, "w399")]
+    docs = [(i, " ".join(["x"] * r.randint(0, 9) + words_[a : a + n] + ["y"] * r.randint(0, 9))) for i, (a, n) in enumerate((r.randint(0, 380), r.randint(5, 60)) for _ in range(25))]
+    docs += [(50, " ".join(words_)), (52, None), (53, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    pieces = module.item_pieces(bench, "item_id", "text", 13)
+    total = sum(len(x.t) for x in pieces.collect())
+    assert len(module._blocks(pieces, total // 4)) >= 5
+    want[51] = (200_400, 400, ["1", "2", "3", "4"], False)
+    rows = [*docs, docs[0], docs[0], (51, " ".join(words_) + " z" * 200_000)]
+    for limit in (10**6, total // 4):
+        found = find_contamination(docs_of(rows), bench, block_chars=limit).collect()
+        assert len(found) == len(rows)
+        got = {x.doc_id: (x._n_words, x._n_hit, list(x._items), x._contaminated) for x in found}
+        assert got == want, limit
+
+
+def test_index_of_equal_hashes(monkeypatch):
+    """Windows whose hashes collide are told apart by their words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from weftgraph.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "run_hashes", lambda words, n: np.full(max(0, len(words) - n + 1), 7, dtype=np.uint64))
+    index = module.WindowIndex([("a", "one two three"), ("b", "two three"), ("c", "four"), ("d", "one two three")], 2)
+    assert index.scan(pa.array(["One two", "two-three", "three four", "five", None]))[:2] == ([2, 2, 2, 1, 0], [["a", "d"], ["a", "b", "d"], ["c"], [], []])
+
+
+def test_own_columns_survive(spark, docs_of):
+    clashing = ["_items0", "_hits0", "_items", "_hits", "_n_words", "_n_hit", "_contaminated", "_cut", "items", "runs", "h1", "probable", "_slot", "_word", "_bits", "c0"]
+    item = " ".join(f"w{i}" for i in range(30))
+    df = docs_of([(1, f"before {item} after"), (2, "clean text")])
+    for k, name in enumerate(clashing):
+        df = df.withColumn(name, F.concat(F.lit(f"own {k} "), "doc_id"))
+    bench = spark.createDataFrame([(1, item), (2, "other words"), (3, "still more of them")], "item_id long, text string")
+    for limit in (10**6, 20):
+        for remove, ids in (("documents", [2]), ("spans", [1, 2])):
+            got = decontaminate(df, bench, remove=remove, block_chars=limit)
+            assert got.columns == df.columns
+            rows = sorted(got.collect(), key=lambda r: r.doc_id)
+            assert [r.doc_id for r in rows] == ids and all(r[n] == f"own {k} {r.doc_id}" for r in rows for k, n in enumerate(clashing))
+    found = find_contamination(df, bench, block_chars=20).collect()
+    assert all(r._items0 == f"own 0 {r.doc_id}" and r.probable.startswith("own") for r in found) and sorted(r._n_hit for r in found) == [0, 30]
