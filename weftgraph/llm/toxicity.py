@@ -21,7 +21,9 @@ BY_CHANCE = 1.0
 LEAST_TEXTS = 3
 FOLDS = 5
 #: A cut may have this part of the best F1.
-NEARLY = 0.995
+NEARLY = 0.99
+#: Of a text in the sample so many features at most are looked at, those with the smallest hashes.
+MOST_IN_TEXT = 50_000
 #: Besides a word itself its first bytes are features, so that other forms of it count too.
 STEMS = (4, 5)
 
@@ -158,12 +160,16 @@ class Chain:
         """text and feature: which of the texts has which feature; labels: texts by categories.
 
         What a later link learns from are out-of-fold probabilities, as it will meet probabilities
-        for texts that the earlier links have not seen. A category's cut is where the out-of-fold
-        probabilities of both classes are told apart best."""
+        for texts that the earlier links have not seen. Texts with the same features are in one
+        fold, so that no copy of a text is among those that its probability is learned from. A
+        category's cut is where the out-of-fold probabilities of both classes are told apart
+        best."""
         n = len(labels)
+        digest = np.zeros(n, dtype=np.uint64)
+        np.add.at(digest, text, mix(feature.astype(np.uint64)))
         keys, text, at = common_features(text, feature, LEAST_TEXTS)
         del feature
-        fold = np.arange(n) % folds
+        fold = (digest % np.uint64(folds)).astype(np.int64)
         chain = np.zeros((n, 0))
         links, cuts = [], []
         for k in range(len(categories)):
@@ -203,21 +209,21 @@ class Chain:
 
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle between two neighbouring probabilities: the highest such cut with an F1 above it
-    of nearly the largest, as a clean text lost costs more than the last of the others found; 0.5 if
-    y has one class only."""
+    """The middle between two neighbouring probabilities: the lowest such cut with an F1 above it of
+    nearly the largest, which finds the most; 0.5 if y has one class only."""
     if not 0 < y.sum() < len(y):
         return 0.5
     order = np.argsort(-p, kind="stable")
     q, hits = p[order], np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     f1[:-1][q[:-1] == q[1:]] = 0
-    i = int((f1 >= NEARLY * f1.max()).argmax())
+    i = int(np.flatnonzero(f1 >= NEARLY * f1.max())[-1])
     return float((q[i] + (q[i + 1] if i + 1 < len(q) else 0.0)) / 2)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str, text_col: str, sample_docs: int) -> DataFrame:
-    """(id hash, labels, packed features) of the sampled labelled documents."""
+    """(h, y, f): id hash, labels and packed features of the sampled labelled documents, one row for
+    each id. Of several texts under one id one is taken, of several labels the largest."""
     ship_code(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_l"), *[F.expr(e).cast("int").alias(f"_y{k}") for k, e in enumerate(categories.values())]).where(
         " and ".join(f"_y{k} is not null" for k in range(len(categories)))
@@ -227,7 +233,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
     # The sample has sample_docs rows at most, of a few numbers each.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).where("_t is not null")
     rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_l"))
-    rows = rows.select("_t", F.xxhash64("_l").alias("_h"), F.array(*[f"_y{k}" for k in range(len(categories))]).alias("_y"))
+    rows = rows.select("_t", F.col("_l").cast("string"), F.xxhash64("_l").alias("_h"), F.array(*[f"_y{k}" for k in range(len(categories))]).alias("_y"))
 
     def run(batches):
         import pyarrow as pa
@@ -238,17 +244,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
                 both = np.unique(np.concatenate([(owner.astype(np.uint64) << np.uint64(32)) | f.astype(np.uint64) for f in features]))
                 cuts = np.searchsorted(both, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
                 own = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                packed += [own[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["h", "y", "f"])
+                packed += [own[a : min(b, a + MOST_IN_TEXT)].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (1, 2, 3)], pa.array(packed, pa.binary())], names=["l", "h", "y", "f"])
 
-    return rows.mapInArrow(run, "h long, y array<int>, f binary")
+    found = rows.mapInArrow(run, "l string, h long, y array<int>, f binary")
+    return found.groupBy("l").agg(F.min(F.struct("h", "y", "f")).alias("r")).select("r.h", "r.y", "r.f")
 
 
 def fit_chain(
     docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS
 ) -> Chain:
     """A chain for `categories` ({name: expression over labels, 0 or 1}), in their order, fitted on
-    `sample_docs` labelled documents at most."""
+    `sample_docs` labelled documents at most, those with the smallest hashes of their ids.
+
+    Defined cases: labels or documents without id or text, and labels with a null in any category,
+    are left out; where labels of one id contradict, the larger counts; an id on several rows counts
+    once; of a very long text MOST_IN_TEXT features are learned from; features that say equally
+    much are taken by their hash; without any labels every probability is a half and nothing is
+    called; other columns are ignored, whatever their names."""
     categories = categories or {"low_quality": "1 - quality", "toxic": "toxic"}
     table = training_rows(docs, labels, categories, id_col, text_col, sample_docs).toArrow()
     order = np.argsort(table.column("h").to_numpy(), kind="stable")
@@ -264,10 +277,10 @@ def fit_chain(
 def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """docs with _p_<category> (double) and _is_<category> for each category of the chain.
 
-    Defined cases: a null text is scored as an empty one, by the biases alone; without labels or
-    with one class only nothing is told apart and every document gets the class's rate; an input
-    column with the name of a result is replaced; repeated rows each give a row; an empty table
-    gives an empty table.
+    Whole texts are read. Defined cases: a null text is scored as an empty one, by the biases
+    alone; without labels or with one class only nothing is told apart and every document gets the
+    class's rate; a probability equal to the cut is not called; an input column with the name of a
+    result is replaced; repeated rows each give a row; an empty table gives an empty table.
     """
     fields = [T.StructField(f"_p_{c}", T.DoubleType()) for c in chain.categories] + [T.StructField(f"_is_{c}", T.BooleanType()) for c in chain.categories]
     shipped = docs.sparkSession.sparkContext.broadcast([(x.keys, x.weights, x.before, x.bias) for x in chain.links])
