@@ -79,3 +79,75 @@ def test_features_do_not_cross_texts():
     one = [list(known.of(*x[1:])[:, i]) for x in known.splitter.batches(pa.array(["a b", "c"])) for i in range(3)]
     two = [list(known.of(*x[1:])[:, i]) for t in (["a b"], ["c"]) for x in known.splitter.batches(pa.array(t)) for i in range(len(x[3]))]
     assert one == two
+
+
+def plain_lines(n, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 8)))
+    odd = ["+49 30 123456", "anna.b7@mail.example.com", "192.168.10.7", "http://x1.example/a/b2", "4111 1111 1111 1111", "12.04.2021", "ISO-8859-1", "3rd", "v2.10.3"]
+    return ["\n".join(" ".join(r.choice(odd) if r.random() < 0.04 else word() for _ in range(r.randint(3, 14))) for _ in range(r.randint(1, 6))) for _ in range(n)]
+
+
+def test_withheld_shapes():
+    """Recall of secrets of a shape that the field has not learned from, and what it calls in clean texts."""
+    from weftgraph.llm import secrets as module
+
+    texts, probe = plain_lines(600, 1), plain_lines(300, 2)
+    for shape in ("mixed", "grouped", "signs"):
+        lines = list(module.labelled_lines(pa.array(texts), Features(), shapes=[s for s in module.SHAPES if s != shape]))
+        scanner = module.Scanner(module.fit_lines(lines))
+        r = random.Random(3)
+        planted = [module.plant(t, r, [shape]) for t in probe]
+        found = 0
+        for (_, a, b), (base, more) in zip(planted, scanner.spans(pa.array([t for t, _, _ in planted])), strict=True):
+            found += any(x < b and a < y for _, x, y in base + more)
+        called = sum(len(more) for _, more in scanner.spans(pa.array(probe)))
+        assert found >= 0.75 * len(probe) and called <= 0.01 * len(probe), (shape, found, called)
+
+
+def test_added_spans_against_brute_force():
+    """Every line decoded token by token, without skipping any."""
+    from weftgraph.llm import secrets as module
+
+    texts = plain_lines(200, 4)
+    field = module.fit_lines(list(module.labelled_lines(pa.array(texts), Features())))
+    r = random.Random(5)
+    probe = [module.plant(t, r, list(module.SHAPES))[0] for t in texts] + ["", "é x9y8Z7w6V5u4T3s2 ü\n" * 3, "x" * 50_000 + " token is q8W7e6R5t4Y3u2I1 " + "y z " * 20_000, "no end"]
+    known, n_added = Features(), 0
+    for text, (base, more) in zip(probe, module.Scanner(field).spans(pa.array(probe)), strict=True):
+        want = []
+        raw = text.encode()
+        tokens = [(m.start(), m.end()) for m in re.finditer(rb"[\x80-\xff0-9A-Za-z+/_.-]+", raw)]
+        if tokens:
+            ((*_, features, _),) = module._blocks(pa.array([text]), known)
+            scores = field.scores(features)
+            begin = 0
+            while begin < len(tokens):
+                end = begin + 1
+                while end < len(tokens) and b"\n" not in raw[tokens[end - 1][1] : tokens[end][0]]:
+                    end += 1
+                run = None
+                for k, tag in enumerate([*field.viterbi(scores[begin:end]), OUT]):
+                    if run and (tag != INSIDE):
+                        want.append(("crf", len(raw[: run[0]].decode()), len(raw[: run[1]].decode())))
+                        run = None
+                    if tag == BEGIN or tag == INSIDE and not run:
+                        run = list(tokens[begin + k])
+                    elif tag == INSIDE:
+                        run[1] = tokens[begin + k][1]
+                begin = end
+        want = [s for s in want if all(b <= s[1] or s[2] <= a for _, a, b in base)]
+        assert more == want
+        n_added += len(more)
+    assert n_added > 100
+
+
+def test_training_is_bounded(docs_of):
+    """However long a text or its lines, and however many rows an id has, the driver gets few tokens."""
+    from weftgraph.llm import secrets as module
+
+    huge = "token=abcdef1234567890ab word " * 5_000
+    docs = docs_of([(1, huge), (2, huge.replace(" word ", "\n")), (3, "a b " * 30_000), *[(4, f"plain text {i}") for i in range(50)], (5, None), (None, huge)])
+    rows = module.training_lines(docs, "doc_id", "text", 100).collect()
+    assert all(len(r.t) <= module.LINE_TOKENS for r in rows)
+    assert sum(len(r.t) for r in rows) <= 4 * module.DOC_TOKENS and any(any(r.t) for r in rows)

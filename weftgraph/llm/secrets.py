@@ -7,7 +7,9 @@ whole file; Viterbi decodes each line.
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,10 +24,23 @@ BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "crf"]
 OUT, BEGIN, INSIDE = 0, 1, 2
 
-#: The field is fitted on the documents with the smallest hashes of their ids, so many at most ...
-SAMPLE_DOCS = 12_000
-#: ... and on so many lines without a secret for one with a secret.
-PLAIN_LINES = 3
+#: The field is fitted on the documents with the smallest hashes of their ids, so many at most, ...
+SAMPLE_DOCS = 3_000
+#: ... on so many lines without a secret for one with a secret, ...
+PLAIN_LINES = 1
+#: ... of a line on so many tokens, around its secret if it has one, ...
+LINE_TOKENS = 16
+#: ... and of a document on so many tokens: 200,000 of 33 bytes reach the driver at most.
+DOC_TOKENS = 64
+#: In documents without a secret, which nearly all are, one is planted to learn from: a word that
+#: announces it, a sign, and a value made by one of SHAPES.
+CUES = ("password", "passwort", "pwd", "secret", "token", "key", "api key", "auth", "bearer", "credential", "pass", "clave", "contraseña", "mot de passe", "schlüssel", "")
+SIGNS = ("=", ": ", " ", " = ", ":", " is ", '="', ": '")
+#: The fit works on so many tokens at a time.
+FIT_TOKENS = 1 << 16
+#: Features that hold words. Lines with a secret are learned from a second time without them, so
+#: that the field knows a secret by its shape too, where it stands among other words.
+WORD_FEATURES = (2, 3, 4)
 #: Pseudo-random hash buckets of words.
 WORDS = 1 << 12
 
@@ -157,7 +172,7 @@ class Field:
         return tags[::-1]
 
 
-def fit_field(features: np.ndarray, tags: np.ndarray, line: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field:
+def fit_field(features: np.ndarray, tags: np.ndarray, line: np.ndarray, rounds: int = 30, rate: float = 0.5, decay: float = 1e-3) -> Field:
     """Maximum likelihood by full-batch AdaGrad with forward and backward sums. `line` numbers the
     line of each token, in order. Lines are worked on side by side, those of like length together."""
     sizes = Features.sizes
@@ -169,13 +184,14 @@ def fit_field(features: np.ndarray, tags: np.ndarray, line: np.ndarray, rounds:
         begins = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         lengths = np.diff(np.append(begins, len(line)))
         groups = [np.flatnonzero(lengths == n) for n in np.unique(lengths)]
+        parts = [g[i : i + each] for g in groups for each in [max(1, FIT_TOKENS // int(lengths[g[0]]))] for i in range(0, len(g), each)]
         hot = np.eye(3)[tags]
         for _ in range(rounds):
             scores = sum(t[v] for t, v in zip(theta, features, strict=False))
             moves, start = theta[-2], theta[-1]
             grad = [np.zeros_like(t) for t in theta]
             marginals = np.empty_like(scores)
-            for g in groups:
+            for g in parts:
                 at = begins[g][:, None] + np.arange(lengths[g[0]])
                 s = scores[at]
                 n = s.shape[1]
@@ -230,68 +246,195 @@ def _base_of(text: str, raw: np.ndarray, origin: int, runs: list) -> list[Span]:
     return base_spans(text, list(zip(flat[0::2], flat[1::2], strict=True)))
 
 
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def _chars(r: random.Random, pool: str, least: int, most: int) -> str:
+    """Characters of the pool, a digit and a letter among them."""
+    while True:
+        out = "".join(r.choice(pool) for _ in range(r.randint(least, most)))
+        if not out.isalpha() and not out.isdigit():
+            return out
+
+
+SHAPES = {
+    "hex": lambda r: _chars(r, _DIGITS + "abcdef", 16, 48),
+    "upper hex": lambda r: _chars(r, _DIGITS + "ABCDEF", 16, 48),
+    "lower": lambda r: _chars(r, _LETTERS + _DIGITS, 10, 40),
+    "upper": lambda r: _chars(r, _LETTERS.upper() + _DIGITS, 12, 32),
+    "mixed": lambda r: _chars(r, _LETTERS + _LETTERS.upper() + _DIGITS, 10, 44),
+    "base64": lambda r: _chars(r, _LETTERS + _LETTERS.upper() + _DIGITS + "+/", 20, 60) + "=" * r.randint(0, 2),
+    "named": lambda r: f"{''.join(r.choice(_LETTERS) for _ in range(r.randint(2, 4)))}{r.choice('_-')}{_chars(r, _LETTERS + _LETTERS.upper() + _DIGITS, 16, 40)}",
+    "grouped": lambda r: "-".join(_chars(r, _LETTERS.upper() + _DIGITS, 4, 5) for _ in range(r.randint(3, 5))),
+    "signs": lambda r: r.choice("!$%&*#").join(_chars(r, _LETTERS + _LETTERS.upper() + _DIGITS, 4, 9) for _ in range(r.randint(2, 3))),
+}
+
+
+def plant(text: str, r: random.Random, shapes: list[str]) -> tuple[str, int, int]:
+    """The text with a secret put before one of its words, and the secret's start and end."""
+    places = [m.start() for m in re.finditer(r"(?<!\S)\S", text)] or [len(text)]
+    at = r.choice(places)
+    value = SHAPES[r.choice(shapes)](r)
+    cue = r.choice(CUES)
+    cue = r.choice([cue, cue.upper(), cue.capitalize()])
+    lead = cue + r.choice(SIGNS) if cue else ""
+    close = lead[-1] if lead[-1:] in ("'", '"') else ""
+    return f"{text[:at]}{lead}{value}{close} {text[at:]}", at + len(lead), at + len(lead) + len(value)
+
+
+def labelled_lines(texts, known: Features, withhold: tuple[str, ...] = (), shapes: list[str] = tuple(SHAPES)):
+    """(features, tags) of lines to learn from, for each text at most DOC_TOKENS tokens.
+
+    A text without a secret has one planted, as the text's own checksum says. A token is in a secret
+    if a pattern's value or a planted one covers it; runs of digits alone are not taken for secrets.
+    Of a line with secrets LINE_TOKENS around the first one are taken, and with each such line some
+    plain ones, cut to as many from a place that depends on their words. Planted values have the
+    given shapes; lines with a match of a pattern in `withhold` are left out."""
+    strings = [t or "" for t in texts.to_pylist()]
+    planted: dict[int, tuple[int, int]] = {}
+    if shapes:
+        for d, text in enumerate(strings):
+            if text and not base_spans(text, [m.span() for m in re.finditer("[0-9a-f]{16,}", text)]):
+                text, a, b = plant(text, random.Random(zlib.crc32(text.encode())), list(shapes))
+                strings[d], planted[d] = text, (a, b)
+    import pyarrow as pa
+
+    for i, data, cuts, starts, ends, first, features, runs in _blocks(pa.array(strings, pa.large_string()), known):
+        tags = np.zeros(len(starts), dtype=np.int8)
+        unused = np.zeros(len(starts), dtype=bool)
+        for d in range(len(first) - 1):
+            text = strings[i + d]
+            if not text:
+                continue
+            raw = data[cuts[d] : cuts[d + 1]]
+            own_spans = [("planted", *planted[i + d])] if i + d in planted else _base_of(text, raw, int(cuts[d]), runs.get(d, []))
+            for kind, a, b in own_spans:
+                if kind == "assign":
+                    a = ASSIGN.match(text, a).start(2)
+                elif kind == "hex" and text[a:b].isdigit():
+                    continue
+                s, e = int(cuts[d]) + len(text[:a].encode()), int(cuts[d]) + len(text[:b].encode())
+                lo, hi = np.searchsorted(ends, s, side="right"), np.searchsorted(starts, e)
+                if kind in withhold:
+                    unused[lo:hi] = True
+                elif lo < hi and not tags[lo:hi].any():
+                    tags[lo], tags[lo + 1 : hi] = BEGIN, INSIDE
+        line = _lines(features)
+        if len(line) < 2:
+            continue
+        some = np.logical_or.reduceat(tags > 0, line[:-1])
+        use = ~np.logical_or.reduceat(unused, line[:-1])
+        owner = np.searchsorted(first, line[:-1], side="right") - 1
+        for d in np.unique(owner).tolist():
+            own = np.flatnonzero((owner == d) & use)
+            secret, plain = own[some[own]], own[~some[own]]
+            plain = plain[:: max(1, -(-len(plain) // (PLAIN_LINES * len(secret) + 1)))]
+            left = DOC_TOKENS
+            # By turns, so that neither kind uses up what is left.
+            for k in np.concatenate([np.stack([secret[: len(plain)], plain[: len(secret)]], 1).ravel(), secret[len(plain) :], plain[len(secret) :]]).astype(np.int64).tolist():
+                lo, hi = int(line[k]), int(line[k + 1])
+                if hi - lo > LINE_TOKENS:
+                    at = lo + int(tags[lo:hi].argmax()) - LINE_TOKENS // 2 if some[k] else lo + int(features[2, lo]) % (hi - lo - LINE_TOKENS + 1)
+                    lo = min(max(at, lo), hi - LINE_TOKENS)
+                    hi = lo + LINE_TOKENS
+                if hi - lo > left:
+                    break
+                left -= hi - lo
+                own_tags = tags[lo:hi].copy()
+                if own_tags[0] == INSIDE:
+                    own_tags[0] = BEGIN
+                yield features[:, lo:hi], own_tags
+
+
 def training_lines(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
-    """Lines to fit on, from the sampled documents, as packed arrays: features, tags. A token is
-    in a secret if a pattern's value covers it; runs of digits alone are not taken for secrets."""
+    """Lines to fit on, from the sampled documents, as packed arrays: features, tags. An id on
+    several rows is a document of which one row is taken."""
     ship_code(docs.sparkSession)
-    docs = docs.where(F.col(id_col).isNotNull())
-    hashed = docs.select(F.xxhash64(id_col).alias("h"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("i is not null and t is not null")
+    hashed = docs.select(F.xxhash64("i").alias("h")).distinct()
     limit = hashed.orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    chosen = docs.where(F.xxhash64(id_col) <= F.lit(limit if limit is not None else 0)).select(F.col(text_col).cast("string").alias("t"))
+    chosen = docs.where(F.xxhash64("i") <= F.lit(limit if limit is not None else 0))
 
     def run(batches):
         import pyarrow as pa
 
         known = Features()
         for batch in batches:
-            texts = batch.column(0)
-            strings = texts.to_pylist()
-            out_f, out_t = [], []
-            for i, data, cuts, starts, ends, first, features, runs in _blocks(texts, known):
-                tags = np.zeros(len(starts), dtype=np.int8)
-                for d in range(len(first) - 1):
-                    text = strings[i + d]
-                    if not text:
-                        continue
-                    raw = data[cuts[d] : cuts[d + 1]]
-                    base = _base_of(text, raw, int(cuts[d]), runs.get(d, []))
-                    for kind, a, b in base:
-                        if kind == "assign":
-                            a = ASSIGN.match(text, a).start(2)
-                        elif kind == "hex" and text[a:b].isdigit():
-                            continue
-                        s = int(cuts[d]) + len(text[:a].encode())
-                        e = int(cuts[d]) + len(text[:b].encode())
-                        lo, hi = np.searchsorted(ends, s, side="right"), np.searchsorted(starts, e)
-                        if lo < hi and not tags[lo:hi].any():
-                            tags[lo], tags[lo + 1 : hi] = BEGIN, INSIDE
-                line = _lines(features)
-                some = np.logical_or.reduceat(tags > 0, line[:-1]) if len(line) > 1 else np.zeros(0, dtype=bool)
-                plain = np.flatnonzero(~some)
-                keep = np.sort(np.concatenate([np.flatnonzero(some), plain[:: max(1, len(plain) // max(1, PLAIN_LINES * int(some.sum()) + 2))]]))
-                for k in keep.tolist():
-                    out_f.append(np.ascontiguousarray(features[:, line[k] : line[k + 1]]).tobytes())
-                    out_t.append(tags[line[k] : line[k + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_f, pa.binary()), pa.array(out_t, pa.binary())], names=["f", "t"])
-
-    return chosen.mapInArrow(run, "f binary, t binary")
+            for k in range(len(batch)):
+                found = list(labelled_lines(batch.column(1).slice(k, 1), known))
+                f = pa.array([[np.ascontiguousarray(x, dtype=np.int32).tobytes() for x, _ in found]], pa.list_(pa.binary()))
+                t = pa.array([[x.tobytes() for _, x in found]], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), f, t], names=["i", "f", "t"])
+
+    found = chosen.withColumn("i", F.xxhash64("i")).mapInArrow(run, "i long, f array<binary>, t array<binary>")
+    once = found.groupBy("i").agg(F.min(F.struct("f", "t")).alias("r"))
+    return once.select(F.explode(F.arrays_zip("r.f", "r.t")).alias("x")).select("x.f", "x.t")
+
+
+def fit_lines(lines: list[tuple[np.ndarray, np.ndarray]]) -> Field:
+    """A field fitted on lines of (features, tags), those with a secret a second time without words."""
+    k = len(Features.sizes)
+    features = np.concatenate([np.zeros((k, 0), dtype=np.int32), *[f for f, _ in lines]], axis=1)
+    tags = np.concatenate([np.zeros(0, dtype=np.int8), *[t for _, t in lines]])
+    line = np.repeat(np.arange(len(lines)), [len(t) for _, t in lines])
+    secret = np.isin(line, [i for i, (_, t) in enumerate(lines) if t.any()])
+    bare = features[:, secret]
+    bare[list(WORD_FEATURES)] = 0
+    return fit_field(np.concatenate([features, bare], axis=1), np.concatenate([tags, tags[secret]]).astype(np.int64), np.concatenate([line, line[secret] + len(lines)]))
 
 
 def fit_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
-    """A field fitted on a bounded sample: SAMPLE_DOCS documents, few lines of each."""
+    """A field fitted on a bounded sample: of SAMPLE_DOCS documents DOC_TOKENS tokens each.
+
+    Defined cases: rows without id or text are left out; an id on several rows counts once; without
+    any lines the field's weights are those it starts with, and it tags nothing; other columns are
+    ignored."""
     rows = training_lines(docs, id_col, text_col, sample_docs).collect()
     rows.sort(key=lambda r: (r.f, r.t))
     k = len(Features.sizes)
-    found = [np.frombuffer(r.f, dtype=np.int32).reshape(k, -1) for r in rows]
-    features = np.concatenate([np.zeros((k, 0), dtype=np.int32), *found], axis=1)
-    tags = np.concatenate([np.zeros(0, dtype=np.int8), *[np.frombuffer(r.t, dtype=np.int8) for r in rows]])
-    line = np.repeat(np.arange(len(found)), [x.shape[1] for x in found])
-    return fit_field(features, tags.astype(np.int64), line)
+    return fit_lines([(np.frombuffer(r.f, dtype=np.int32).reshape(k, -1), np.frombuffer(r.t, dtype=np.int8)) for r in rows])
 
 
 FIELDS = [T.StructField(f"_n_{k}", T.LongType()) for k in BASE] + [T.StructField("_base_sha256", T.StringType()), T.StructField("_spans", T.StringType())]
 
 
+class Scanner:
+    """Finds the spans of texts by the patterns and a field."""
+
+    def __init__(self, field: Field):
+        self.known, self.field, self.bound = Features(), field, field.bound()
+
+    def spans(self, texts) -> list[tuple[list[Span], list[Span]]]:
+        """(spans of the patterns, spans that the field adds) of each text."""
+        strings = texts.to_pylist()
+        out = []
+        for i, data, cuts, starts, ends, first, features, runs in _blocks(texts, self.known):
+            scores = self.field.scores(features)
+            open_ = scores[:, OUT] - scores[:, 1:].max(1) <= self.bound
+            line = _lines(features)
+            added: dict[int, list] = {}
+            busy = np.unique(np.searchsorted(line, np.flatnonzero(open_), side="right") - 1)
+            for k in busy.tolist():
+                lo, hi = int(line[k]), int(line[k + 1])
+                tags = self.field.viterbi(scores[lo:hi])
+                d = int(np.searchsorted(first, lo, side="right")) - 1
+                for j, tag in enumerate(tags):
+                    if tag == BEGIN or tag == INSIDE and (j == 0 or tags[j - 1] == OUT):
+                        added.setdefault(d, []).append([int(starts[lo + j]), int(ends[lo + j])])
+                    elif tag == INSIDE:
+                        added[d][-1][1] = int(ends[lo + j])
+            for d in range(len(first) - 1):
+                text = strings[i + d] or ""
+                raw, origin = data[cuts[d] : cuts[d + 1]], int(cuts[d])
+                base = _base_of(text, raw, origin, runs.get(d, [])) if text else []
+                more: list[Span] = []
+                if d in added:
+                    flat = _positions(raw, [x - origin for r in added[d] for x in r])
+                    more = [("crf", a, b) for a, b in zip(flat[0::2], flat[1::2], strict=True) if all(b <= x or y <= a for _, x, y in base)]
+                out.append((base, more))
+        return out
+
+
 def scan_secrets(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """docs with columns _n_assign, _n_access, _n_hex (long), _base_sha256 (of the patterns' spans)
     and _spans (all, as kind:start:end joined by commas, in code points, end exclusive).
@@ -299,44 +442,18 @@ def scan_secrets(docs: DataFrame, field: Field, text_col: str = "text") -> DataF
     The field adds spans of kind `crf` where no pattern has matched. Lines where every token leads
     for outside by more than the transitions can make up need no decoding.
 
-    Defined cases: a null or empty text has no spans; an input column with the name of a result is
-    replaced; repeated rows each give a row; an empty table gives an empty table.
+    Whole texts are read, in blocks; a very long line is decoded whole. Defined cases: a null or
+    empty text has no spans; among equally good paths the one with the lower tags at the end; an
+    input column with the name of a result is replaced; repeated rows each give a row; an empty
+    table gives an empty table.
     """
     shipped = docs.sparkSession.sparkContext.broadcast((field.tables, field.moves, field.start))
 
     def make(batches):
-        known, field = Features(), Field(*shipped.value)
-        bound = field.bound()
+        scanner = Scanner(Field(*shipped.value))
         for (texts,) in batches:
-            strings = texts.to_pylist()
-            counts, digests, spans = [[] for _ in BASE], [], []
-            for i, data, cuts, starts, ends, first, features, runs in _blocks(texts, known):
-                scores = field.scores(features)
-                open_ = scores[:, OUT] - scores[:, 1:].max(1) <= bound
-                line = _lines(features)
-                added: dict[int, list] = {}
-                busy = np.unique(np.searchsorted(line, np.flatnonzero(open_), side="right") - 1)
-                for k in busy.tolist():
-                    lo, hi = int(line[k]), int(line[k + 1])
-                    tags = field.viterbi(scores[lo:hi])
-                    d = int(np.searchsorted(first, lo, side="right")) - 1
-                    for j, tag in enumerate(tags):
-                        if tag == BEGIN or tag == INSIDE and (j == 0 or tags[j - 1] == OUT):
-                            added.setdefault(d, []).append([int(starts[lo + j]), int(ends[lo + j])])
-                        elif tag == INSIDE:
-                            added[d][-1][1] = int(ends[lo + j])
-                for d in range(len(first) - 1):
-                    text = strings[i + d] or ""
-                    raw, origin = data[cuts[d] : cuts[d + 1]], int(cuts[d])
-                    base = _base_of(text, raw, origin, runs.get(d, [])) if text else []
-                    all_ = list(base)
-                    if d in added:
-                        flat = _positions(raw, [x - origin for r in added[d] for x in r])
-                        all_ += [("crf", a, b) for a, b in zip(flat[0::2], flat[1::2], strict=True) if all(b <= x or y <= a for _, x, y in base)]
-                    for kind, c in zip(BASE, counts, strict=True):
-                        c.append(sum(s[0] == kind for s in base))
-                    digests.append(digest(base, BASE))
-                    spans.append(joined(all_, KINDS))
-            yield [*counts, digests, spans]
+            found = scanner.spans(texts)
+            counts = [[sum(s[0] == kind for s in base) for base, _ in found] for kind in BASE]
+            yield [*counts, [digest(base, BASE) for base, _ in found], [joined(base + more, KINDS) for base, more in found]]
 
     return add_columns(without(docs, [f.name for f in FIELDS]), make, FIELDS, [text_col])
