@@ -42,6 +42,21 @@ def test_reduction_keeps_the_optimum():
         assert all(sum(own) <= capacity for _, own in best_fit(left, capacity))
 
 
+def test_triples_are_fixed():
+    """Sets of three, where the best pair beside an item dominates every other."""
+    fixed, left = reduce_dominated(Counter([12, 9, 8, 8, 7]), 30)
+    assert (1, [12, 9, 8]) in fixed and not left
+    r = random.Random(9)
+    seen = 0
+    for _ in range(300):
+        capacity = r.choice([24, 30, 40])
+        items = [r.randint(capacity // 4, capacity // 2) for _ in range(r.randint(3, 9))]
+        fixed, left = reduce_dominated(Counter(items), capacity)
+        seen += any(len(own) == 3 for _, own in fixed)
+        assert sum(n for n, _ in fixed) + optimum(list(Counter(left).elements()), capacity) == optimum(items, capacity), (items, capacity)
+    assert seen > 30
+
+
 def test_plan_is_near_the_bound():
     r = random.Random(2)
     counts = {j: r.randint(0, 10**6) for j in range(1, 2049)}
@@ -98,3 +113,19 @@ def test_same_ids_in_common_scripts(encode):
     for _ in range(300):
         text = "".join(r.choice(pool) for _ in range(60))
         assert [*next(iter(e.ids(pa.array([text]))))] + [0] == encode(text)
+
+
+def test_same_ids_on_all_documents(encode):
+    """Both engines give the same ids on every text of the test tables."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from weftgraph.llm.tokens import encoder
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    texts = pq.read_table(path).column("text").combine_chunks()
+    for text, ids in zip(texts.to_pylist(), encoder(byte_bpe()).ids(texts), strict=True):
+        assert [*ids, 0] == encode(text)

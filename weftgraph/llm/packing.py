@@ -35,8 +35,11 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[Patterns, d
     For an item j let k be the largest other item that fits beside it. {j} is fixed if nothing
     fits beside it. {j, k} is fixed if they fill the sequence, if no two other items fit beside j,
     or if no three do and k is at least as large as the best two together: in each case whatever
-    else could stand beside j fits in the place of k, so some best packing has {j, k}. Items of a
-    length are taken together, so the work depends on the number of lengths, not of items.
+    else could stand beside j fits in the place of k, so some best packing has {j, k}. Else let b
+    be the largest item that fits beside j and k. {j, k, b} is fixed if no three others fit beside
+    j, and no two that are both larger than b: of any two that do, the larger one fits in the place
+    of k and the smaller one in that of b. Items of a length are taken together, so the work
+    depends on the number of lengths, not of items.
     """
     left = {j: n for j, n in counts.items() if n}
     lengths = sorted(left)
@@ -62,6 +65,21 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[Patterns, d
             i -= 1
         return lengths[i] if i >= 0 else 0
 
+    def larger_than(b: int, n: int, besides: int) -> list[int]:
+        out: list[int] = []
+        for x in lengths[bisect_left(lengths, b + 1) :]:
+            out += [x] * min(left[x] - (x == besides), n - len(out))
+            if len(out) >= n:
+                break
+        return out
+
+    def third(room: int, j: int, k: int) -> int:
+        """The largest item that fits in `room`, besides one of j and one of k."""
+        for x in reversed(lengths[: bisect_left(lengths, room + 1)]):
+            if left[x] > (x == j) + (x == k):
+                return x
+        return 0
+
     def best_two(room: int, besides: int) -> int:
         others = [x for x in lengths if x < room and (x != besides or left[x] > 1)]
         best = max((2 * x for x in others if 2 * x <= room and left[x] - (x == besides) > 1), default=0)
@@ -89,10 +107,21 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[Patterns, d
                     continue
                 few = smallest(3, j)
                 dominates = k == room or len(few) < 2 or few[0] + few[1] > room
-                if not dominates and (len(few) < 3 or sum(few) > room):
+                no_three = len(few) < 3 or sum(few) > room
+                if not dominates and no_three:
                     dominates = k >= best_two(room, j)
                 if not dominates:
-                    break
+                    b = third(room - k, j, k) if no_three else 0
+                    two = larger_than(b, 2, j) if b else []
+                    if not b or len(two) == 2 and sum(two) <= room:
+                        break
+                    own = [j, k, b]
+                    n = min(left[x] // own.count(x) for x in own)
+                    fixed.append((n, own))
+                    for x in own:
+                        take(x, n)
+                    changed = True
+                    continue
                 # Taking many at once must not change what the rule has looked at, but for items
                 # becoming fewer, which leaves the alternatives fewer too.
                 n = left[j] // 2 if j == k else min(left[j], left[k])
@@ -218,7 +247,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     places by their rank among those of their length. The plan has a row for each place in a
     pattern, and the number of patterns depends on the lengths alone, so it is broadcast.
 
-    Defined cases: a null or empty text is a document of the end token alone; rows that repeat a
+    Whole texts are encoded, however long. Defined cases: a null or empty text is a document of the
+    end token alone; pieces of a length are placed in order of document and piece; rows that repeat a
     document are packed each; a null id stays null; an empty table gives an empty table; other
     columns are ignored.
     """
