@@ -133,3 +133,49 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a long, b long").repartition(5)
     assert {x.node: x.component for x in connected_components(df).collect()} == {x: find(x) for x in root}
     assert connected_components(df.where("false")).count() == 0
+
+
+def test_hot_entry_spread_thin(spark, docs_of, monkeypatch):
+    """An entry of more classes than a task gathers is dealt, though no task has seen it often."""
+    from weftgraph.llm import jaccard
+    from weftgraph.llm.cluster import Scratch
+
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    r = random.Random(12)
+    vocab = [f"v{i}" for i in range(3000)]
+    # Each text has the same four words somewhere, three texts to a partition; few are near copies.
+    texts = [r.sample(vocab, 12) for _ in range(45)]
+    texts = [[*t[:5], "all", "rights", "are", "reserved", *t[5:]] for t in texts] + [[*t[:5], "all", "rights", "are", "reserved", *t[5:], "x"] for t in texts[:15]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = docs_of(rows, parts=20)
+    src = df.select(F.col("doc_id").alias("id"), "text")
+    known = jaccard.features(src, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 4, 20, 100)
+    entries = jaccard.dealt_entries(known, Scratch(spark))
+    most = entries.groupBy("g", "i", "j").count().agg(F.max("count")).first()[0]
+    assert known.select(F.explode("prefix").alias("g")).groupBy("g").count().agg(F.max("count")).first()[0] >= 45 and most <= 4 * 8
+    for num in (20, 70):
+        got = {x.doc_id: x.component_id for x in jaccard_classes(df, num=num).collect()}
+        assert got == brute(rows, 4, num, 100)
+
+
+def test_runs_over_several_batches():
+    import pyarrow as pa
+
+    from weftgraph.llm.jaccard import _groups
+
+    keys = [1, 1, 2, 2, 2, 2, 2, 2, 3, 4, 4, 5]
+    for size in (1, 2, 3, 5, 20):
+        batches = [pa.RecordBatch.from_pydict({"k": keys[i : i + size], "v": list(range(i, min(i + size, len(keys))))}) for i in range(0, len(keys), size)]
+        runs = []
+        for table, starts in _groups([batches[0].slice(0, 0), *batches], ["k"]):
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                runs.append((set(table.column("k")[a:b].to_pylist()), table.column("v")[a:b].to_pylist()))
+        assert [k for k, _ in runs] == [{1}, {2}, {3}, {4}, {5}] and [x for _, v in runs for x in v] == list(range(len(keys)))
+
+
+def test_very_long_texts(docs_of):
+    r = random.Random(13)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-900], "end"])), (3, " ".join(words[:45_000])), (4, "short text")]
+    got = {x.doc_id: x.component_id for x in jaccard_classes(docs_of(rows)).collect()}
+    assert got == brute(rows, 4, 85, 100) and got[2] == 1 and got[3] == 3

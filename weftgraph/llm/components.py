@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import save
+from .cluster import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -63,14 +63,18 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     """(node, component) for every node of `links`; a component's name is its smallest node.
 
     Links are first contracted within each task; then large-star and small-star steps alternate over
-    the table of links, in rounds that grow with the logarithm of the longest chain. Each round is written to the shared folder. Links with a
-    null end and links of a node with itself are left out; repeated links count once.
+    the table of links, in rounds that grow with the logarithm of the longest chain. Each round is
+    written to the shared folder, and the one before it dropped. Links with a null end and links of
+    a node with itself are left out; repeated links count once.
     """
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct()
-    edges = save(_contract(edges), "links")
-    state = None
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.save(_contract(edges), "links")
+    last, state = "links", None
     for k in range(most_rounds):
-        edges = save(_star(_star(edges, large=True), large=False), f"stars-{k}")
+        edges = scratch.save(_star(_star(edges, large=True), large=False), f"stars-{k}")
+        scratch.drop(last)
+        last = f"stars-{k}"
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == state:
             break

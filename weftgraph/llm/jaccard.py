@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix, nonspace_words, run_hashes, runs_per_text
-from .cluster import keep_probable, save, ship_code
+from .cluster import Scratch, keep_probable, ship_code
 from .components import connected_components
 
 #: At most so many n-grams are called frequent: each has at least this part of all occurrences.
@@ -27,11 +27,13 @@ FREQUENT = 1 << 18
 #: ... and at least so many occurrences.
 LEAST_FREQUENT = 64
 #: A task counts so many n-grams at a time, and says nothing about one that occurs fewer than LOCAL
-#: times among them.
+#: times among them. This is for the order alone; what is posted is counted exactly.
 COUNTED = 4_000_000
 LOCAL = 4
-#: Classes that one task is expected to gather for an entry; a frequent entry is dealt to more tasks.
+#: Classes of an entry that one task gathers; an entry with more is dealt to more tasks.
 TILE = 4096
+#: So many rows of two longs at most are broadcast, after they have been counted.
+BROADCAST_ROWS = 200_000
 #: Classes of a tile; longer lists are cut into blocks of half as many, which meet in pairs.
 BLOCK = 512
 #: Bits of a signature for each member of a set, and the most bits. With one bit for a member the
@@ -108,9 +110,11 @@ def frequent_ngrams(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 held = 0
         yield counted(found)
 
-    counts = save(texts.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "ngram-counts")
+    scratch = Scratch(texts.sparkSession)
+    counts = scratch.save(texts.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "ngram-counts")
     total = counts.where("g is null").agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
     rows = counts.where(F.col("g").isNotNull() & (F.col("c") >= max(LEAST_FREQUENT, total // FREQUENT + 1))).toArrow()
+    scratch.drop("ngram-counts")
     keys, c = rows.column("g").to_numpy().view(np.uint64), rows.column("c").to_numpy()
     order = np.argsort(keys)
     return keys[order], c[order]
@@ -154,28 +158,38 @@ def features(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int, n
 
 
 def _groups(batches, keys: list[str]):
-    """Runs of equal keys in sorted Arrow batches, as dicts of columns (numpy, or lists of bytes)."""
+    """Whole runs of equal keys in sorted Arrow batches: (table, where its runs begin, with its end).
+    Batches are put together only where a run ends, so a long run is copied once."""
     import pyarrow as pa
 
-    held = None
+    held: list = []
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        held = held.combine_chunks()
-        columns = [held.column(k).to_numpy() for k in keys]
-        if not len(held):
+        if not len(batch):
             continue
-        change = np.zeros(len(held), dtype=bool)
-        change[0] = True
-        for c in columns:
+        table = pa.Table.from_batches([batch])
+        change = np.zeros(len(table), dtype=bool)
+        for k in keys:
+            c = table.column(k).to_numpy()
             change[1:] |= c[1:] != c[:-1]
+            change[0] |= bool(held) and c[0] != held[-1].column(k)[-1].as_py()
         starts = np.flatnonzero(change)
-        if len(starts) > 1:
-            yield held.slice(0, int(starts[-1])), starts
-            held = held.slice(int(starts[-1]))
-    if held is not None and len(held):
-        columns = [held.column(k).to_numpy() for k in keys]
-        yield held, np.array([0, len(held)])
+        if not len(starts):
+            held.append(table)
+            continue
+        last = int(starts[-1])
+        yield _with_starts(pa.concat_tables([*held, table.slice(0, last)]).combine_chunks(), keys)
+        held = [table.slice(last)]
+    if held:
+        yield _with_starts(pa.concat_tables(held).combine_chunks(), keys)
+
+
+def _with_starts(table, keys: list[str]):
+    change = np.zeros(len(table), dtype=bool)
+    change[0] = True
+    for k in keys:
+        c = table.column(k).to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return table, np.append(np.flatnonzero(change), len(table))
 
 
 def _blocks(begin: int, end: int, sizes: np.ndarray, sides: np.ndarray, num: int, den: int):
@@ -339,6 +353,28 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they have been counted to be few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def dealt_entries(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Postings (g, i, j, side, id, n) of the classes' prefixes.
+
+    Entries are counted, exactly and over all tasks. One with more classes than a task gathers is
+    dealt: each class has a part, and parts meet in pairs, so each is there as often as there are
+    parts."""
+    entries = reps.select("id", "n", F.explode("prefix").alias("g"))
+    many = entries.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TILE)
+    hot = scratch.save(many.select("g", F.ceil(F.col("c") / TILE).cast("int").alias("parts")), "hot-entries")
+    if hot.isEmpty():
+        return entries.select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "n")
+    entries = entries.join(_small(hot), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    entries = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return entries.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "n")
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Components of documents linked by Jaccard similarity of at least num / den.
 
@@ -349,13 +385,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Defined cases: a document without text or words has an empty set and is linked with nothing; a
     row without id is returned with a null component and links nothing; repeated rows are each
     returned, and rows that share an id are versions of one document, whose links are those of all;
-    other columns are ignored; an empty table gives an empty table.
+    very long texts are read whole; a similarity of exactly num / den links;
+    other columns are ignored, whatever their names; an empty
+    table gives an empty table.
     """
-    spark = docs.sparkSession
-    ship_code(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys, counts = frequent_ngrams(src.select("text"), n)
-    known = save(features(src, (keys, counts), n, num, den), "features")
+    ship_code(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    save = scratch.save
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    known = save(features(src, frequent_ngrams(src.select("text"), n), n, num, den), "features")
 
     named = known.where("id is not null and n > 0")
     classes = save(named.select("h1", "h2", "id").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
@@ -367,44 +405,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     versions = named.select("id", "h1", "h2").join(several, "id", "left_semi").join(classes, ["h1", "h2"]).where("id <> rep")
     versions = save(versions.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "versions")
 
-    # An entry expected to have more classes than a tile holds is dealt: each class has a part, and
-    # parts meet in pairs.
-    hot = counts > TILE
-    parts = spark.createDataFrame([(int(k), int(-(-c // TILE))) for k, c in zip(keys[hot].view(np.int64), counts[hot], strict=True)], "g long, parts int")
-    entries = reps.select("id", "n", F.explode("prefix").alias("g"))
-    if hot.any():
-        entries = entries.join(F.broadcast(parts), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        entries = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        entries = entries.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "n")
-    else:
-        entries = entries.select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "n")
-    sorted_entries = entries.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "n", "id", "side")
-    lists = tile_lists(sorted_entries, num, den).select("k1", "k2", "defer", F.explode(F.arrays_zip("ids", "sides")).alias("m"))
-    lists = lists.select("k1", "k2", "defer", F.col("m.ids").alias("id"), F.col("m.sides").alias("side"))
-    members = save(lists, "tiles")
+    postings = dealt_entries(reps, scratch).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "n", "id", "side")
+    # A row for each tile: one that is not looked at again is never taken apart.
+    lists = save(tile_lists(postings, num, den), "tiles")
     signed = reps.select("id", "n", "bits")
 
+    def members(tiles: DataFrame) -> DataFrame:
+        apart = tiles.select("k1", "k2", F.explode(F.arrays_zip("ids", "sides")).alias("m"))
+        return apart.select("k1", "k2", F.col("m.ids").alias("id"), F.col("m.sides").alias("side"))
+
     def sorted_tiles(rows: DataFrame) -> DataFrame:
         return rows.select("k1", "k2", "id", "n", "side", "bits", "comp").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "n", "id", "side")
 
-    found = save(candidate_pairs(sorted_tiles(members.where("not defer").join(signed, "id").withColumn("comp", F.col("id"))), num, den, all_pairs=False), "first-pairs")
+    found = save(candidate_pairs(sorted_tiles(members(lists.where("not defer")).join(signed, "id").withColumn("comp", F.col("id"))), num, den, all_pairs=False), "first-pairs")
     first = found.where("not open").select("a", "b")
     links = save(verify(first, src, n, num, den), "first-links")
     comp = connected_components(links.unionByName(versions))
     # Tiles where something may be left: those with a class that had a choice of partners and those
     # put off, as far as they have classes of two components.
-    chosen = members.where("not defer").join(found.where("open").select(F.col("a").alias("k1"), F.col("b").alias("k2")), ["k1", "k2"], "left_semi")
-    some = chosen.unionByName(members.where("defer")).join(comp.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    chosen = lists.where("not defer").join(_small(found.where("open").select(F.col("a").alias("k1"), F.col("b").alias("k2"))), ["k1", "k2"], "left_semi")
+    some = members(chosen.unionByName(lists.where("defer"))).join(comp.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     some = save(some.select("k1", "k2", "id", "side", "comp"), "tiles-left")
-    apart = some.groupBy("k1", "k2").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("k1", "k2")
-    some = some.join(apart, ["k1", "k2"], "left_semi")
+    apart = save(some.groupBy("k1", "k2").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("k1", "k2"), "tiles-apart")
+    some = some.join(_small(apart), ["k1", "k2"], "left_semi")
     rest = candidate_pairs(sorted_tiles(some.join(signed, "id")), num, den, all_pairs=True).select("a", "b").join(first, ["a", "b"], "left_anti")
     rest = save(rest, "other-pairs")
     more = save(verify(rest, src, n, num, den), "other-links")
     # Links between components, put under the components' names.
     ends = more.join(comp.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(comp.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
     merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    scratch.drop("classes-features", "versions", "hot-entries", "tiles", "first-pairs", "first-links", "tiles-left", "tiles-apart", "other-pairs", "other-links")
     final = classes.join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     final = final.join(merged.withColumnsRenamed({"node": "c"}), "c", "left").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "c").alias("component_id"))
     # Both sides are dealt for this join, so that adaptive execution can split the rows of a large
