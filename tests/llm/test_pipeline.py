@@ -86,3 +86,30 @@ def test_stages_against_brute_force(spark, con):
     found = test_decontaminate.brute([(i, t) for i, t, _ in want], items)
     want = [r for r in want if not found[r[0]][3]]
     assert rows(stages["decontaminate"](spark, got, folder)) == want
+
+
+def test_odd_tables(spark, docs_of, tmp_path):
+    """Empty tables, repeated rows, nulls in every column and columns with the operators' names."""
+    folder = str(tmp_path)
+    long = " ".join(f"long{i}" for i in range(30_000))
+    docs = docs_of([(1, "one two three four five six seven", "a"), (1, "one two three four five six seven", "a"), (2, None, None), (None, "words without an id here", "b"), (3, "", "c"), (4, long, "d"), (5, long + " tail", "e")])
+    clashing = ["_p_toxic", "_is_toxic", "_slot", "_word", "_bits", "_probable", "_member", "_hits", "_items", "_n_words", "_drop", "_host", "_n_dropped", "c0", "probable"]
+    for k, name in enumerate(clashing):
+        docs = docs.withColumn(name, F.concat(F.lit(f"own {k} "), F.coalesce("doc_id", F.lit(0))))
+    bench = spark.createDataFrame([(1, "nothing of this is there"), (None, "x"), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for kind, rows in (("full", 1), ("empty", 0)):
+        bench.limit(rows * 3).write.parquet(f"{folder}/{kind}/benchmark.parquet")
+        labels.limit(rows * 3).write.parquet(f"{folder}/{kind}/labels.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, f"{folder}/full")
+        assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+        got = now.collect()
+        assert all(r[n] == f"own {k} {r.doc_id or 0}" for r in got for k, n in enumerate(clashing)), name
+        assert sorted(r.doc_id or 0 for r in got) == ([0, 1, 1, 2, 3, 4, 5] if name in ("toxicity", "line_dedup") else [0, 1, 1, 2, 3, 4]), name
+        assert stage(spark, docs.where("false"), f"{folder}/empty").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, now, folder).where("piece = 0").count() == 6
+    assert corpus_pipeline.STAGES[-1][1](spark, now.where("false"), folder).count() == 0
