@@ -136,4 +136,4 @@ def test_choice(graphs, monkeypatch):
     assert "strategy: eager" in text and "HashAggregate" in text
     monkeypatch.setattr(compiler, "LARGE", 1.0)
     choice = {n: engine.compile(Pattern.of(*CASES[n])).choose() for n in ("neq", "not", "triangle", "optional_neq", "two_neq")}
-    assert choice == {"neq": "subtract", "not": "eager", "triangle": "eager", "optional_neq": "eager", "two_neq": "subtract"}
+    assert choice == {"neq": "subtract", "not": "subtract", "triangle": "intersect", "optional_neq": "eager", "two_neq": "subtract"}

@@ -6,10 +6,10 @@ from pyspark.errors import SparkRuntimeException
 from weftgraph.cli import main
 from weftgraph.engine import PatternEngine
 from weftgraph.plans.pattern import Pattern
-from weftgraph.sources.loader import dense_ids, load_graph, open_graph, read_edges, read_vertices, store_graph
+from weftgraph.sources.loader import dense_ids, load_graph, malformed_lines, open_graph, read_edges, read_vertices, store_graph
 from weftgraph.sources.schema import GraphSchema, SchemaError
 
-#: A graph of 15 vertices.
+#: A graph of 15 vertices and three patterns on it: fixed values, as published, with their counts.
 SCHEMA = {
     "vertices": {x: f"{x}.csv" for x in "ABCDE"},
     "edges": {"a": ["A_a_B.csv", "C_a_A.csv"], "b": ["B_b_C.csv", "C_b_D.csv", "D_b_E.csv"]},
@@ -74,20 +74,78 @@ def test_relabel_files(spark, files, tmp_path):
 
 def test_edge_separators(spark, tmp_path):
     (tmp_path / "e.csv").write_text(":START_ID|:END_ID\n1|2\n3,4\n5\t6\n7 8|9\n\n x\n")
-    assert sorted(map(tuple, read_edges(spark, str(tmp_path / "e.csv")).collect())) == [(1, 2), (3, 4), (5, 6), (7, 8)]
+    assert sorted(map(tuple, read_edges(spark, str(tmp_path / "e.csv"), malformed="skip").collect())) == [(1, 2), (3, 4), (5, 6), (7, 8)]
     (tmp_path / "v.csv").write_text("1\n2|x\n3 4\n\n")
     assert sorted(r.id for r in read_vertices(spark, str(tmp_path / "v.csv"), header=False).collect()) == [1, 2, 3]
 
 
-def test_dense_ids(spark):
-    ids = [5, 5, 7, 1_000_000, 3, 70, None]
-    got = dict(map(tuple, dense_ids(spark.createDataFrame([(i,) for i in ids], "id long"), width=10).collect()))
-    assert got == {3: 0, 5: 1, 7: 2, 70: 3, 1_000_000: 4}
+def test_header_is_not_looked_at(spark, tmp_path):
+    """With a header the first line of each file goes, a number or not; without, it is a line."""
+    for i, text in enumerate(("0\n1\n2\n", ":ID\n3\n")):
+        (tmp_path / "v.csv").mkdir(exist_ok=True)
+        (tmp_path / "v.csv" / f"part-{i}.csv").write_text(text)
+    (tmp_path / "e.csv").write_text("0|1\n1|2\n")
+    assert sorted(r.id for r in read_vertices(spark, str(tmp_path / "v.csv")).collect()) == [1, 2, 3]
+    assert sorted(map(tuple, read_edges(spark, str(tmp_path / "e.csv")).collect())) == [(1, 2)]
+    assert sorted(map(tuple, read_edges(spark, str(tmp_path / "e.csv"), header=False).collect())) == [(0, 1), (1, 2)]
+    with pytest.raises(SparkRuntimeException, match="malformed line"):
+        read_vertices(spark, str(tmp_path / "v.csv"), header=False).collect()
+
+
+def test_malformed_lines(spark, tmp_path):
+    """Lines without ids and ids that are too large raise, or are left out and counted."""
+    bad = ["broken", "99999999999999999999", str(1 << 40), "-", "12x"]
+    (tmp_path / "P.csv").write_text(":ID\n0\n1|a\n" + "".join(f"{x}\n" for x in bad))
+    (tmp_path / "P_k_P.csv").write_text("from|to\n0|1\n3|x\n1\n1|99999999999999999999\n")
+    schema = GraphSchema.from_json({"vertices": {"P": "P.csv"}, "edges": {"k": "P_k_P.csv"}})
+    for line in bad:
+        (tmp_path / "one.csv").write_text(f"{line}\n")
+        with pytest.raises(SparkRuntimeException, match="malformed line"):
+            read_vertices(spark, str(tmp_path / "one.csv"), header=False).collect()
+    with pytest.raises(SparkRuntimeException, match="malformed line"):
+        load_graph(spark, schema, str(tmp_path), dangling="keep").edges("k").collect()
+    with pytest.raises(ValueError, match="malformed"):
+        read_vertices(spark, str(tmp_path / "P.csv"), malformed="drop")
+    g = load_graph(spark, schema, str(tmp_path), malformed="skip")
+    assert [r.id for r in g.vertices("P").orderBy("id").collect()] == [0, 1] and g.edges("k").count() == 1
+    assert {r.file: r.lines for r in malformed_lines(spark, schema, str(tmp_path)).collect()} == {"P.csv": 5, "P_k_P.csv": 3}
+
+
+def test_lookups_reach_the_scan(spark, files, tmp_path):
+    """Filters on ids of a stored graph are pushed to Parquet, at targets to the copy in their order."""
+    store_graph(load_graph(spark, GraphSchema.from_json(files / "schema.json"), str(files)), str(tmp_path / "s"))
+    g = open_graph(spark, str(tmp_path / "s"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    at = g.edges_at("b", "src", [5, 7], ["C"])
+    assert "PushedFilters: [In(src" in plan(at).replace("IsNotNull(src), ", "")
+    assert sorted((r.src & 0xFF, r.dst & 0xFF) for r in at.collect()) == [(5, 8), (5, 11), (7, 9), (7, 10)]
+    into = g.edges_at("b", "dst", [8], ["C"])
+    assert "EqualTo(dst" in plan(into) or "In(dst" in plan(into)
+    assert all(".by_target" in f for f in into.inputFiles()) and all(".by_target" in f for f in g.into("a").inputFiles())
+    assert sorted((r.src & 0xFF, r.dst & 0xFF) for r in into.collect()) == [(5, 8), (6, 8)]
+    one = g.edges("b").where(f"src = {2 << 40 | 6}")
+    assert "EqualTo(src," in plan(one) and one.count() == 1
+    with pytest.raises(ValueError, match="out of range"):
+        g.edges_at("b", "src", [1 << 40])
+
+
+def test_adjacency_in_blocks(spark):
+    """A hub's neighbours are in several lists; equal neighbours are in lists of one number."""
+    from weftgraph.sources.loader import catalog_from_tables
+
+    schema = GraphSchema.from_json({"vertices": {"P": "P.csv"}, "edges": {"k": "P_k_P.csv"}})
+    pairs = [(0, i) for i in range(1, 200)] + [(1, i) for i in range(2, 200)] + [(5, 6)]
+    g = catalog_from_tables(spark, schema, {"P": spark.range(200)}, {("k", "P", "P"): spark.createDataFrame(pairs, "src long, dst long")})
+    rows = g.adjacency("k", most=50).collect()
+    assert {r.id for r in rows if len(r.neighbours) > 100} == set() and len([r for r in rows if r.id == 0]) == 4
+    assert sorted((r.id, n) for r in rows for n in r.neighbours) == sorted(pairs)
+    blocks = {(r.id, n): r.block for r in rows for n in r.neighbours}
+    assert all(blocks[0, n] == blocks[1, n] for n in range(2, 200)) and blocks[5, 6] == 0
 
 
 def test_sets_and_undirected(spark, tmp_path):
     (tmp_path / "P.csv").write_text(":ID\n0\n1\n2\n")
-    (tmp_path / "P_k_P.csv").write_text("1|0\n0|1\n0|1\n2|2\n")
+    (tmp_path / "P_k_P.csv").write_text("from|to\n1|0\n0|1\n0|1\n2|2\n")
     schema = GraphSchema.from_json({"vertices": {"P": "P.csv"}, "edges": {"k": "P_k_P.csv"}, "undirected_edge_labels": ["k"]})
     g = load_graph(spark, schema, str(tmp_path))
     assert sorted(map(tuple, g.edges("k").collect())) == [(0, 1), (1, 0), (2, 2)]
@@ -98,7 +156,7 @@ def test_sets_and_undirected(spark, tmp_path):
 
 def test_dangling(spark, tmp_path):
     (tmp_path / "P.csv").write_text(":ID\n0\n1\n")
-    (tmp_path / "P_k_P.csv").write_text("0|1\n0|9\n")
+    (tmp_path / "P_k_P.csv").write_text("from|to\n0|1\n0|9\n")
     schema = GraphSchema.from_json({"vertices": {"P": "P.csv"}, "edges": {"k": "P_k_P.csv"}})
     for relabel in (False, True):
         with pytest.raises(SparkRuntimeException, match="without a vertex"):

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from weftgraph.engine import PatternEngine
 from weftgraph.plans.compiler import STRATEGIES
-from weftgraph.sources.loader import load_graph, open_graph, relabel_files, store_graph
+from weftgraph.sources.loader import load_graph, malformed_lines, open_graph, relabel_files, store_graph
 from weftgraph.sources.schema import GraphSchema
 
 
@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--no-header", action="store_true")
         p.add_argument("--overwrite", action="store_true")
         p.add_argument("--dangling", choices=["error", "drop"], default="error")
+        p.add_argument("--malformed", choices=["error", "skip"], default="error", help="lines without ids: stop, or leave out and say how many")
         if name == "build":
             p.add_argument("--relabel", action="store_true")
             p.add_argument("--drop-self-loops", action="store_true")
@@ -42,11 +43,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("weftgraph").getOrCreate()
     if a.command == "build":
-        g = load_graph(spark, GraphSchema.from_json(a.schema), a.source, not a.no_header, a.relabel, a.dangling, a.drop_self_loops)
+        g = load_graph(spark, GraphSchema.from_json(a.schema), a.source, not a.no_header, a.relabel, a.dangling, a.drop_self_loops, a.malformed)
         store_graph(g, a.target, a.overwrite)
     elif a.command == "relabel":
-        relabel_files(spark, GraphSchema.from_json(a.schema), a.source, a.target, not a.no_header, a.dangling, a.overwrite)
-    elif a.command == "summary":
+        relabel_files(spark, GraphSchema.from_json(a.schema), a.source, a.target, not a.no_header, a.dangling, a.overwrite, a.malformed)
+    if a.command in ("build", "relabel") and a.malformed == "skip":
+        for r in malformed_lines(spark, GraphSchema.from_json(a.schema), a.source, not a.no_header).collect():
+            print(f"{r.file}: {r.lines} malformed lines left out")
+    if a.command in ("build", "relabel"):
+        return 0
+    if a.command == "summary":
         open_graph(spark, a.graph).summary().show(1000, truncate=False)
     else:
         g = open_graph(spark, a.graph)

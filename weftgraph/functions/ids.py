@@ -10,19 +10,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RAW_BITS = 40
-_RAW_MASK = (1 << RAW_BITS) - 1
+LARGEST_RAW = (1 << RAW_BITS) - 1
 
 
 def global_id(ordinal: int, raw: Column) -> Column:
     """A raw id (0 to 2**40 - 1) of a leaf label as a global id; others raise when evaluated."""
     raw = raw.cast("long")
-    fits = (raw >= 0) & (raw <= _RAW_MASK)
+    fits = (raw >= 0) & (raw <= LARGEST_RAW)
     packed = raw.bitwiseOR(F.lit(ordinal << RAW_BITS))
     return F.when(fits, packed).when(raw.isNotNull(), F.raise_error(F.concat(F.lit("vertex id out of range: "), raw.cast("string"))).cast("long"))
 
 
 def raw_id(gid: Column) -> Column:
-    return gid.bitwiseAND(F.lit(_RAW_MASK))
+    return gid.bitwiseAND(F.lit(LARGEST_RAW))
 
 
 def label_of(gid: Column, leaves: list[str]) -> Column:

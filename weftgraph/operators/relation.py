@@ -85,12 +85,30 @@ def with_edge(r: Relation, edge: Relation) -> Relation:
 
 
 def intersect_neighbours(pairs: Relation, a: Relation, b: Relation, v: str) -> Relation:
-    """Count, for each row of `pairs`, the common values of `v` under edges a = (x, v) and
-    b = (y, v), from sorted neighbour lists; the lists meet at the pair and no wedge is made.
-    Edges must be sets."""
-    x, y = next(n for n in a.vars if n != v), next(n for n in b.vars if n != v)
-    lists = lambda e, k, name: e.df.groupBy(k).agg(F.collect_set(v).alias(name))
-    df = pairs.df.join(lists(a, x, "_p"), x).join(lists(b, y, "_q"), y)
-    df = df.withColumn("_n", F.size(F.array_intersect("_p", "_q")).cast("long")).where("_n > 0")
-    df = df.withColumn(WEIGHT, F.col("_n") * pairs.weight())
-    return Relation(df.select(*pairs.vars, WEIGHT), pairs.vars, pairs.rows, pairs.distinct, True)
+    """The join of `pairs`, a and b, where a and b share the variable v, which is not in `pairs`, and
+    all their others are: pairs meet a and b at v.
+
+    Each row of `pairs` is continued by that of a and b in which it has fewer partners, and then
+    looked up in the other one by all its variables. So the rows made on the way are the sum of the
+    lesser degrees, which for the triangles of m edges is below m ** 1.5 even with hubs, while one
+    order for all rows makes the sum of squared degrees. Lists of neighbours are never gathered."""
+    ka, kb = [u for u in a.vars if u != v], [u for u in b.vars if u != v]
+    degrees = lambda r, keys, name: r.df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    plain = lambda r, name: r.df.withColumnRenamed(WEIGHT, name) if r.weighted else r.df
+    df = plain(pairs, "_p").join(degrees(a, ka, "_da"), ka).join(degrees(b, kb, "_db"), kb)
+    x, y = plain(a, "_a"), plain(b, "_b")
+    by_a = df.where("_da <= _db").join(x, ka).join(y, [*kb, v])
+    by_b = df.where("_da > _db").join(y, kb).join(x, [*ka, v])
+    weights = [F.col(n) for r, n in ((pairs, "_p"), (a, "_a"), (b, "_b")) if r.weighted]
+    out_vars = (*pairs.vars, v)
+    out = by_a.unionByName(by_b)
+    if weights:
+        w = weights[0]
+        for other in weights[1:]:
+            w = w * other
+        out = out.withColumn(WEIGHT, w)
+    rows = pairs.estimate(a) * b.rows / max(1.0, a.distinct[v], b.distinct[v])
+    for u in kb:
+        rows /= max(1.0, pairs.distinct[u], b.distinct[u])
+    distinct = pairs.distinct | {v: min(a.distinct[v], b.distinct[v])}
+    return Relation(out.select(*out_vars, *([WEIGHT] if weights else [])), out_vars, rows, distinct, bool(weights))

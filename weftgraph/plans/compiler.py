@@ -19,12 +19,13 @@ from weftgraph.sources.catalog import GraphCatalog
 
 #: Ways to count. "join" enumerates all matches; "declared" does so in the order in which edges are
 #: written; "eager" adds up what is not needed any more as soon as possible; "subtract" also counts
-#: constraints and NOT edges by inclusion and exclusion; "intersect" closes triangles by neighbour
-#: lists; "reduce" first drops what has no partner in a neighbouring edge; "auto" chooses.
+#: constraints and NOT edges by inclusion and exclusion; "intersect" closes triangles from the end
+#: with fewer neighbours, row by row; "reduce" first drops what has no partner in a neighbouring edge; "auto" chooses.
 STRATEGIES = ("auto", "join", "declared", "eager", "subtract", "intersect", "reduce")
 #: Constraints that "auto" counts by subtraction at most: each doubles the terms.
 MOST_SUBTRACTED = 2
-#: Rows of a join, by estimate, from which subtraction is worth its terms; fewer flow through faster.
+#: Rows of a join, by estimate, from which subtraction is worth its terms, and intersection the
+#: degrees it counts first; fewer rows flow through faster.
 LARGE = 1e8
 #: Rows added up early must be expected to become fewer by this factor.
 SHRINK = 2.0
@@ -35,8 +36,8 @@ class Compiler:
         self.catalog, self.pattern = catalog, pattern
         self.column = {v.name: f"v{i}" for i, v in enumerate(pattern.vertices)}
         self.leaves = {v.name: catalog.leaves(v.label) for v in pattern.vertices}
-        #: Rows of the largest join planned so far, by estimate.
-        self.peak = 0.0
+        #: Rows of the largest join planned so far, by estimate, and whether a triangle was closed.
+        self.peak, self.closed = 0.0, False
 
     # Edges as relations
 
@@ -137,6 +138,7 @@ class Compiler:
             if intersect and (found := self._triangle(parts, needed)):
                 i, j, k, v = found
                 made = settle(intersect_neighbours(parts[i], parts[j], parts[k], v))
+                self.closed = True
                 parts = [p for n, p in enumerate(parts) if n not in (i, j, k)] + [made]
                 continue
             i, j = self._next(parts, ordered)
@@ -170,22 +172,17 @@ class Compiler:
 
     @staticmethod
     def _triangle(parts: list[Relation], needed) -> tuple[int, int, int, str] | None:
-        """(pairs, edge, edge, variable): two plain edges to a variable that nothing else needs,
-        whose other ends are both in a third part."""
+        """(third, one, other, variable): two parts with a variable that is in no other part, and a
+        third part that has all their others, so that the three close a cycle."""
         for j, k in combinations(range(len(parts)), 2):
             a, b = parts[j], parts[k]
-            if a.edge is None or b.edge is None:
-                continue
-            shared = set(a.vars) & set(b.vars)
-            if len(shared) != 1:
-                continue
-            v = shared.pop()
-            if v in needed([j, k]):
-                continue
-            ends = (set(a.vars) | set(b.vars)) - {v}
-            for i, p in enumerate(parts):
-                if i not in (j, k) and ends <= set(p.vars):
-                    return i, j, k, v
+            for v in sorted(set(a.vars) & set(b.vars)):
+                if len(a.vars) < 2 or len(b.vars) < 2 or any(v in p.vars for i, p in enumerate(parts) if i not in (j, k)):
+                    continue
+                ends = (set(a.vars) | set(b.vars)) - {v}
+                for i, p in enumerate(parts):
+                    if i not in (j, k) and ends <= set(p.vars) and not set(a.vars) <= {*b.vars} and not set(b.vars) <= {*a.vars}:
+                        return i, j, k, v
         return None
 
     # OPTIONAL
@@ -245,15 +242,19 @@ class Compiler:
         return core, [v.name for v in self.pattern.vertices if v.name in later]
 
     def choose(self) -> str:
-        """What "auto" stands for: subtraction where inequalities keep an acyclic pattern from being
-        added up before a large join, and early counting otherwise. A NOT edge closes a cycle and
-        counts as much by subtraction as without."""
+        """What "auto" stands for. Where the largest join of early counting is large by estimate:
+        subtraction, if inequalities and NOT edges are what keeps an acyclic pattern from being added
+        up before it, and intersection, if triangles are closed. Early counting otherwise."""
         core, keep = self._split()
-        if not 0 < len(core) <= MOST_SUBTRACTED or keep or self.pattern.of_kind(NOT) or not self.pattern.is_acyclic():
+        nots = self.pattern.of_kind(NOT)
+        self.peak, self.closed = 0.0, False
+        self.core(keep, core, nots)
+        if self.peak < LARGE:
             return "eager"
-        self.peak = 0.0
-        self.core([], core, [])
-        return "subtract" if self.peak >= LARGE else "eager"
+        if 0 < len(core) + len(nots) <= MOST_SUBTRACTED and not keep and self.pattern.is_acyclic():
+            return "subtract"
+        self.core(keep, core, nots, intersect=True)
+        return "intersect" if self.closed else "eager"
 
     def count(self, strategy: str = "auto") -> DataFrame:
         """One row, match_count."""
@@ -270,14 +271,15 @@ class Compiler:
 
     def _subtract(self, core: list[Differ], nots: list[PatternEdge], keep: list[str]) -> DataFrame:
         """Sum over subsets of the constraints and NOT edges: those in the subset are turned into
-        equalities and regular edges, and count negatively if they are odd in number."""
+        equalities and regular edges, and count negatively if they are odd in number. Triangles that
+        NOT edges so close are intersected."""
         terms = []
         ties = [*core, *nots]
         for k in range(len(ties) + 1):
             for own in combinations(ties, k):
                 same = [c for c in own if isinstance(c, Differ)]
                 extra = [PatternEdge(e.src, e.dst, e.label) for e in own if isinstance(e, PatternEdge)]
-                terms.append(((-1) ** k, self.optional(self.core(keep, [], [], extra, same), set(), True)))
+                terms.append(((-1) ** k, self.optional(self.core(keep, [], [], extra, same, intersect=True), set(), True)))
         return _total(terms)
 
     def match(self, names: list[str] | None = None) -> DataFrame:

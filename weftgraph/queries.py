@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.engine import PatternEngine
 from weftgraph.functions.ids import label_of, raw_id
+from weftgraph.operators.relation import Relation, intersect_neighbours
 from weftgraph.plans.pattern import Pattern
 from weftgraph.sources.catalog import GraphCatalog
-from weftgraph.sources.loader import dense_ids
+from weftgraph.sources.loader import catalog_from_tables, dense_ids, load_graph, open_graph, read_edges, relabel_files, store_graph
+from weftgraph.sources.schema import EdgeTable, GraphSchema
+from weftgraph.sources.shared import Scratch
 from weftgraph.sources.tabular import star_graph
 
 _GRAPHS: dict[tuple[str, str], GraphCatalog] = {}
@@ -171,17 +176,76 @@ def _raw(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _renumbered(spark: SparkSession, folder: str) -> DataFrame:
-    keys = spark.read.parquet(f"{folder}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("id")).where("id % 3 <> 0")
-    return dense_ids(keys, width=1000)
-
-
-def _renumbered_whole(spark: SparkSession, folder: str) -> DataFrame:
     """Global ids of all vertices, which have a gap after each label."""
     g = graph(spark, folder)
     ids = g.vertices(_LABELS[0])
     for x in _LABELS[1:]:
         ids = ids.unionByName(g.vertices(x))
-    return dense_ids(ids, width=1000)
+    return dense_ids(ids)
+
+
+def _files(spark: SparkSession, folder: str) -> tuple[GraphSchema, str]:
+    """Customers, orders and what connects them as CSV files with headers, and their schema. Order
+    keys are spread so that numbering them anew changes them."""
+    read = lambda t, *columns: spark.read.parquet(f"{folder}/{t}.parquet").select(*columns)
+    spread = F.col("o_orderkey") * 7 + 3
+    tables = {
+        "Customer": read("customer", F.col("c_custkey").alias(":ID"), "c_name"),
+        "Order": read("orders", spread.alias(":ID"), "o_orderstatus"),
+        "Nation": read("nation", F.col("n_nationkey").alias(":ID"), "n_name"),
+        "Customer_PLACED_Order": read("orders", F.col("o_custkey").alias(":START_ID"), spread.alias(":END_ID")),
+        "Customer_IN_NATION_Nation": read("customer", F.col("c_custkey").alias(":START_ID"), F.col("c_nationkey").alias(":END_ID")),
+    }
+    schema = GraphSchema.from_json({"vertices": {x: f"{x}.csv" for x in ("Customer", "Order", "Nation")}, "edges": {"PLACED": "Customer_PLACED_Order.csv", "IN_NATION": "Customer_IN_NATION_Nation.csv"}})
+    path = f"{Scratch(spark).path}/csv"
+    for name, t in tables.items():
+        t.write.csv(f"{path}/{name}.csv", sep="|", header=True)
+    return schema, path
+
+
+def _loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of both labels from CSV files with headers, by the files' ids."""
+    schema, path = _files(spark, folder)
+    g = load_graph(spark, schema, path)
+    return _raw(g.edges("PLACED").withColumn("label", F.lit("PLACED")).unionByName(g.edges("IN_NATION").withColumn("label", F.lit("IN_NATION"))), "src", "dst")
+
+
+def _relabelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of CSV files that were written again with dense ids, read back."""
+    schema, path = _files(spark, folder)
+    relabel_files(spark, schema, path, f"{path}-dense")
+    return read_edges(spark, f"{path}-dense/Customer_PLACED_Order.csv")
+
+
+def _stored(spark: SparkSession, folder: str) -> GraphCatalog:
+    schema, path = _files(spark, folder)
+    store_graph(load_graph(spark, schema, path, relabel=True), f"{path}-stored")
+    return open_graph(spark, f"{path}-stored")
+
+
+def _stored_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers of two nations, by target, and orders of three customers, from the stored graph."""
+    g = _stored(spark, folder)
+    found = g.edges_at("IN_NATION", "dst", [3, 7]).withColumn("label", F.lit("IN_NATION"))
+    return _raw(found.unionByName(g.edges_at("PLACED", "src", [1, 4, 9]).withColumn("label", F.lit("PLACED"))), "src", "dst")
+
+
+def _pattern_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The count that a pattern from a JSON file has on the stored graph."""
+    pattern = Pattern.of("n:Nation; c:Customer; o:Order", "(c)-[IN_NATION]->(n); (c)-[PLACED]->(o)", "")
+    path = f"{Scratch(spark).path}/pattern"
+    spark.createDataFrame([(json.dumps(pattern.to_json()),)], "value string").coalesce(1).write.text(path)
+    text = spark.read.text(path, wholetext=True).first().value
+    return PatternEngine(_stored(spark, folder)).match_counts(Pattern.from_json(json.loads(text)), ["n"])
+
+
+def _dangling(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders whose customer is not among the vertices, which are the customers of one segment."""
+    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
+    schema = GraphSchema({"Customer": "", "Order": ""}, {}, [EdgeTable("PLACED", "Customer", "Order")])
+    vertices = {"Customer": read("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id")), "Order": read("orders").select(F.col("o_orderkey").alias("id"))}
+    edges = {("PLACED", "Customer", "Order"): read("orders").select(F.col("o_custkey").cast("long").alias("src"), F.col("o_orderkey").cast("long").alias("dst"))}
+    return _raw(catalog_from_tables(spark, schema, vertices, edges).dangling(), "src", "dst")
 
 
 def _match_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,19 +270,24 @@ def _difference(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _common(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of common neighbours of each pair that knows each other, by sorted lists."""
-    g = graph(spark, folder)
-    near = g.adjacency("KNOWS")
-    pairs = g.edges("KNOWS").where("src < dst").join(near.select(F.col("id").alias("src"), F.col("neighbours").alias("p")), "src")
-    pairs = pairs.join(near.select(F.col("id").alias("dst"), F.col("neighbours").alias("q")), "dst")
-    return _raw(pairs.select("src", "dst", F.size(F.array_intersect("p", "q")).cast("long").alias("common")), "src", "dst")
+    """Number of common neighbours of each pair that knows each other."""
+    edges = graph(spark, folder).edges("KNOWS")
+    pairs = edges.where("src < dst").select("src", "dst")
+    end = lambda df, name: Relation(df, (name, "v") if name else ("src", "dst"), 1.0, {name: 1.0, "v": 1.0} if name else {"src": 1.0, "dst": 1.0})
+    near = [end(edges.select(F.col("src").alias(n), F.col("dst").alias("v")), n) for n in ("src", "dst")]
+    found = intersect_neighbours(end(pairs, ""), *near, "v").df.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common"))
+    return _raw(pairs.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("common", F.lit(0)).cast("long").alias("common")), "src", "dst")
 
 
 _LABELS = ["Customer", "EventType", "Nation", "Order", "Part", "Region", "Supplier"]
 
 GRAPH_QUERIES = {
     "s5_dense_ids": _renumbered,
-    "s5_dense_ids_whole": _renumbered_whole,
+    "s2_load_csv": _loaded,
+    "s5_relabel_files": _relabelled,
+    "s9_store_and_open": lambda s, d: _stored(s, d).summary(),
+    "s11_lookup_stored": _stored_lookup,
+    "s17_pattern_file": _pattern_file,
     "s13_vertices_of_super_label": lambda s, d: graph(s, d).vertices("Party").select(raw_id(F.col("id")).alias("id"), label_of(F.col("id"), _LABELS).alias("label")),
     "s15_edge_set": lambda s, d: _raw(graph(s, d).edges("CONTAINS"), "src", "dst"),
     "s16_summary": lambda s, d: graph(s, d).summary(),
@@ -228,7 +297,7 @@ GRAPH_QUERIES = {
     "a5_degree_undirected": lambda s, d: _raw(graph(s, d).out_degrees("KNOWS"), "src"),
     "a6_id_ranges": lambda s, d: graph(s, d).id_ranges(),
     "j9_semi_join": _semi,
-    "j13_dangling": lambda s, d: _raw(graph(s, d).dangling(), "src", "dst"),
+    "j13_dangling": _dangling,
     "j14_adjacency": lambda s, d: graph(s, d).adjacency("CONTAINS").select(raw_id(F.col("id")).alias("id"), F.array_join(F.transform("neighbours", raw_id), ",").alias("neighbours")),
     "j15_reverse_adjacency": lambda s, d: graph(s, d).adjacency("IN_NATION", ["Supplier"], reverse=True).select(raw_id(F.col("id")).alias("id"), F.array_join(F.transform("neighbours", raw_id), ",").alias("neighbours")),
     "f2_common_neighbours": _common,
@@ -248,13 +317,14 @@ _EDGE_SQL = {
     ("SUPPLIED_BY", "Order", "Supplier"): f"SELECT o AS src, s AS dst FROM {_SUPPLIED}",
     ("SUPPLIES", "Supplier", "Part"): f"SELECT s AS src, p AS dst FROM {_SUPPLIES}",
 }
+#: Dense ids of customers, orders and nations.
+_DENSE = "WITH " + ", ".join(f"{x} AS (SELECT {k} AS id, row_number() OVER (ORDER BY {k}) - 1 AS d FROM {t})" for x, k, t in (("c", "c_custkey", "customer"), ("o", "o_orderkey", "orders"), ("n", "n_nationkey", "nation")))
 _VERTEX_SQL = {"Customer": "customer", "EventType": "types", "Nation": "nation", "Order": "orders", "Part": "part", "Region": "region", "Supplier": "supplier"}
 
 _KEY_SQL = {"Customer": "c_custkey", "EventType": "id", "Nation": "n_nationkey", "Order": "o_orderkey", "Part": "p_partkey", "Region": "r_regionkey", "Supplier": "s_suppkey"}
 
 GRAPH_SQL = {
-    "s5_dense_ids": "SELECT id, row_number() OVER (ORDER BY id) - 1 AS dense FROM (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0)",
-    "s5_dense_ids_whole": _WITH
+    "s5_dense_ids": _WITH
     + "SELECT id, row_number() OVER (ORDER BY id) - 1 AS dense FROM ("
     + " UNION ".join(f"SELECT CAST({_KEY_SQL[x]} AS BIGINT) + {i} * 1099511627776 AS id FROM {_VERTEX_SQL[x]} WHERE {_KEY_SQL[x]} IS NOT NULL" for i, x in enumerate(_LABELS))
     + ")",
@@ -275,7 +345,15 @@ GRAPH_SQL = {
         for k, q in _EDGE_SQL.items()
     ),
     "j9_semi_join": "SELECT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
-    "j13_dangling": "SELECT 'PLACED' AS label, o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+    "j13_dangling": "SELECT 'PLACED' AS label, o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "s2_load_csv": "SELECT 'PLACED' AS label, o_custkey AS src, o_orderkey * 7 + 3 AS dst FROM orders UNION ALL SELECT 'IN_NATION', c_custkey, c_nationkey FROM customer",
+    "s5_relabel_files": f"{_DENSE} SELECT c.d AS src, o.d AS dst FROM orders JOIN c ON c.id = o_custkey JOIN o ON o.id = o_orderkey",
+    "s9_store_and_open": "SELECT 'vertex' AS kind, 'Customer' AS label, CAST(NULL AS VARCHAR) AS src_label, CAST(NULL AS VARCHAR) AS dst_label, count(*) AS n FROM customer"
+    " UNION ALL SELECT 'vertex', 'Nation', NULL, NULL, count(*) FROM nation UNION ALL SELECT 'vertex', 'Order', NULL, NULL, count(*) FROM orders"
+    " UNION ALL SELECT 'edge', 'IN_NATION', 'Customer', 'Nation', count(*) FROM customer UNION ALL SELECT 'edge', 'PLACED', 'Customer', 'Order', count(*) FROM orders",
+    "s11_lookup_stored": f"{_DENSE} SELECT 'IN_NATION' AS label, c.d AS src, n.d AS dst FROM customer JOIN c ON c.id = c_custkey JOIN n ON n.id = c_nationkey WHERE n.d IN (3, 7)"
+    " UNION ALL SELECT 'PLACED', c.d, o.d FROM orders JOIN c ON c.id = o_custkey JOIN o ON o.id = o_orderkey WHERE c.d IN (1, 4, 9)",
+    "s17_pattern_file": f"{_DENSE} SELECT n.d AS n, count(*) AS match_count FROM customer JOIN orders ON o_custkey = c_custkey JOIN n ON n.id = c_nationkey GROUP BY 1",
     "j14_adjacency": f"SELECT o AS id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS neighbours FROM {_CONTAINS} GROUP BY o",
     "j15_reverse_adjacency": "SELECT CAST(s_nationkey AS BIGINT) AS id, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS neighbours FROM supplier GROUP BY 1",
     "f2_common_neighbours": _WITH

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.ids import raw_id
+from weftgraph.functions.ids import LARGEST_RAW, RAW_BITS, raw_id
 from weftgraph.sources.schema import GraphSchema, SchemaError
 
 
@@ -21,6 +21,10 @@ class EdgeStats:
     targets: int
 
 
+#: Neighbours in one list of an adjacency, about and at most.
+LIST = 100_000
+
+
 class GraphCatalog:
     """Vertex tables (id) and edge tables (src, dst) over global ids.
 
@@ -28,8 +32,10 @@ class GraphCatalog:
     given; what is missing is counted once, when a plan first asks for it.
     """
 
-    def __init__(self, spark: SparkSession, schema: GraphSchema, vertices: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], stats: dict[tuple[str, str, str], EdgeStats] | None = None):
+    def __init__(self, spark: SparkSession, schema: GraphSchema, vertices: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], stats: dict[tuple[str, str, str], EdgeStats] | None = None, by_target: dict[tuple[str, str, str], DataFrame] | None = None):
         self.spark, self.schema, self._vertices, self._edges = spark, schema, vertices, edges
+        #: Edge tables stored a second time in order of their targets, where there are such.
+        self._by_target = by_target or {}
         self._stats = dict(stats or {})
         self._labels = {k[0] for k in edges} | {e.label for e in schema.edges}
 
@@ -60,6 +66,27 @@ class GraphCatalog:
         """Bag union of the label's tables between these leaf labels."""
         return self._union([self._edges[k] for k in self.edge_keys(label, src, dst)], "src long, dst long")
 
+    def edges_at(self, label: str, end: str, ids: list[int], src: list[str] | None = None, dst: list[str] | None = None) -> DataFrame:
+        """Edges whose source or target (`end`, "src" or "dst") has one of these raw ids.
+
+        The ids are put as global ones into a filter on the stored column, which the scan sees; at
+        targets the copy in their order is read, if the graph has one."""
+        if end not in ("src", "dst"):
+            raise ValueError(f"end: {end!r} is neither 'src' nor 'dst'")
+        if bad := [i for i in ids if not 0 <= i <= LARGEST_RAW]:
+            raise ValueError(f"vertex ids out of range: {bad}")
+        found = []
+        for key in self.edge_keys(label, src, dst):
+            table = self._by_target.get(key, self._edges[key]) if end == "dst" else self._edges[key]
+            base = self.schema.ordinal(key[1] if end == "src" else key[2]) << RAW_BITS
+            found.append(table.where(F.col(end).isin([base | i for i in ids])).select("src", "dst"))
+        return self._union(found, "src long, dst long")
+
+    def into(self, label: str, src: list[str] | None = None, dst: list[str] | None = None) -> DataFrame:
+        """Like edges(), from tables in order of their targets where there are such: what is grouped
+        by target comes together in one task before it is shuffled."""
+        return self._union([self._by_target.get(k, self._edges[k]) for k in self.edge_keys(label, src, dst)], "src long, dst long")
+
     def vertices(self, label: str) -> DataFrame:
         return self._union([self._vertices[x] for x in self.leaves(label)], "id long")
 
@@ -83,17 +110,24 @@ class GraphCatalog:
         return self.edges(label, src, dst).groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
 
     def in_degrees(self, label: str, src: list[str] | None = None, dst: list[str] | None = None) -> DataFrame:
-        return self.edges(label, src, dst).groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
+        return self.into(label, src, dst).groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
 
     def sources(self, label: str) -> DataFrame:
         """Distinct vertices with an outgoing edge of the label."""
         return self.edges(label).select(F.col("src").alias("id")).distinct()
 
-    def adjacency(self, label: str, src: list[str] | None = None, dst: list[str] | None = None, reverse: bool = False) -> DataFrame:
-        """(id, neighbours): sorted distinct neighbours of each vertex."""
-        e = self.edges(label, src, dst)
+    def adjacency(self, label: str, src: list[str] | None = None, dst: list[str] | None = None, reverse: bool = False, most: int = LIST) -> DataFrame:
+        """(id, block, neighbours): sorted distinct neighbours of each vertex, in lists of about
+        `most` at most. A vertex of more has several blocks, numbered from 0: a neighbour's block
+        follows from its id and the vertex's degree, so equal neighbours of two vertices of like
+        degree are in blocks of one number."""
+        e = self.into(label, src, dst) if reverse else self.edges(label, src, dst)
         a, b = ("dst", "src") if reverse else ("src", "dst")
-        return e.groupBy(F.col(a).alias("id")).agg(F.sort_array(F.collect_set(b)).alias("neighbours"))
+        e = e.select(F.col(a).alias("id"), F.col(b).alias("n"))
+        hubs = e.groupBy("id").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > most)
+        hubs = hubs.select("id", F.expr(f"cast(pow(2, ceil(log2(d / {most}))) as int)").alias("blocks"))
+        block = F.coalesce(F.pmod(F.xxhash64("n"), F.col("blocks")), F.lit(0)).cast("int")
+        return e.join(hubs, "id", "left").groupBy("id", block.alias("block")).agg(F.sort_array(F.collect_set("n")).alias("neighbours"))
 
     def summary(self) -> DataFrame:
         """(kind, label, src_label, dst_label, n) of every vertex and edge table."""

@@ -8,49 +8,92 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.ids import global_id, raw_id
+from weftgraph.functions.ids import LARGEST_RAW, global_id, raw_id
 from weftgraph.sources.catalog import EdgeStats, GraphCatalog
 from weftgraph.sources.schema import GraphSchema
+from weftgraph.sources.shared import save
 
 
 def _path(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
-def read_vertices(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """(id): the leading number of each line, whatever follows it. Lines without one, and the
-    header, are left out. Parquet files give their first column."""
+def _lines(spark: SparkSession, path: str, header: bool) -> DataFrame:
+    """(value): the lines of a text file or folder, without each file's first one if it is a header.
+    Empty lines are none."""
+    plain = spark.read.option("header", header).option("sep", "\u0001").option("quote", "").option("escape", "").option("comment", "")
+    return plain.schema("value string").csv(path).where("value is not null")
+
+
+#: What a vertex line begins with, and an edge line; anything may follow.
+_VERTEX = r"^\s*(\d+)(?![0-9A-Za-z])"
+_EDGE = r"^[^0-9A-Za-z]*(\d+)[^0-9A-Za-z]+(\d+)(?![0-9A-Za-z])"
+
+
+def _parsed(spark: SparkSession, path: str, header: bool, pattern: str, names: list[str]) -> DataFrame:
+    """Lines with their numbers, null where a line does not have them or they are no ids."""
+    lines = _lines(spark, path, header)
+    numbers = [F.regexp_extract("value", pattern, i + 1).try_cast("long") for i in range(len(names))]
+    return lines.select("value", *[F.when(x.between(0, LARGEST_RAW), x).alias(n) for n, x in zip(names, numbers, strict=True)])
+
+
+def _checked(parsed: DataFrame, path: str, names: list[str], malformed: str) -> DataFrame:
+    if malformed not in ("error", "skip"):
+        raise ValueError(f"malformed: {malformed!r} is neither 'error' nor 'skip'")
+    whole = F.lit(True)
+    for n in names:
+        whole &= F.col(n).isNotNull()
+    if malformed == "skip":
+        return parsed.where(whole).select(*names)
+    bad = F.raise_error(F.concat(F.lit(f"malformed line in {path}: "), F.col("value"))).cast("long")
+    return parsed.select(*[F.when(whole, F.col(n)).otherwise(bad).alias(n) for n in names])
+
+
+def read_vertices(spark: SparkSession, path: str, header: bool = True, malformed: str = "error") -> DataFrame:
+    """(id): the leading number of each line, whatever follows it. A line without one, or with a
+    number that is no id, raises when it is read, or is left out with malformed="skip"; see
+    malformed_lines(). With `header` the first line is not looked at. Parquet files give their
+    first column."""
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
         return df.select(F.col(df.columns[0]).cast("long").alias("id"))
-    lines = spark.read.option("header", False).text(path)
-    number = F.regexp_extract("value", r"^\s*(\d+)", 1)
-    # A header has no leading number; with header=False one would be a line that is not a vertex.
-    return lines.select(F.when(number != "", number).try_cast("long").alias("id")).where("id is not null")
+    return _checked(_parsed(spark, path, header, _VERTEX, ["id"]), path, ["id"], malformed)
 
 
-def read_edges(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """(src, dst): the first two numbers of each line, with any blanks or signs between."""
+def read_edges(spark: SparkSession, path: str, header: bool = True, malformed: str = "error") -> DataFrame:
+    """(src, dst): the first two numbers of each line, with any blanks or signs between. Other lines
+    are treated as by read_vertices()."""
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
         return df.select(F.col(df.columns[0]).cast("long").alias("src"), F.col(df.columns[1]).cast("long").alias("dst"))
-    pair = r"^[^0-9A-Za-z]*(\d+)[^0-9A-Za-z]+(\d+)"
-    cells = spark.read.text(path).select(F.regexp_extract("value", pair, 1).alias("a"), F.regexp_extract("value", pair, 2).alias("b"))
-    return cells.where("a <> ''").select(F.col("a").try_cast("long").alias("src"), F.col("b").try_cast("long").alias("dst")).where("src is not null and dst is not null")
+    return _checked(_parsed(spark, path, header, _EDGE, ["src", "dst"]), path, ["src", "dst"], malformed)
+
+
+def malformed_lines(spark: SparkSession, schema: GraphSchema, folder: str, header: bool = True) -> DataFrame:
+    """(file, lines): how many lines of each CSV file malformed="skip" leaves out, where there are any."""
+    out = spark.createDataFrame([], "file string, lines long")
+    for names, pattern, files in ((["id"], _VERTEX, schema.leaves.values()), (["src", "dst"], _EDGE, [e.file for e in schema.edges])):
+        for f in sorted({x for x in files if not x.endswith(".parquet")}):
+            bad = _parsed(spark, _path(folder, f), header, pattern, names).where(" or ".join(f"{n} is null" for n in names))
+            out = out.unionByName(bad.agg(F.count(F.lit(1)).alias("lines")).where("lines > 0").select(F.lit(f).alias("file"), "lines"))
+    return out
 
 
-def dense_ids(ids: DataFrame, width: int = 1 << 20) -> DataFrame:
-    """(id, dense): distinct ids numbered from 0 in their order, without a global sort in one task.
+def dense_ids(ids: DataFrame) -> DataFrame:
+    """(id, dense): distinct values of `id` numbered from 0 in their order; of any type that sorts.
 
-    Ids are ranked within ranges of `width` values; each range starts where the one before ends,
-    by a running sum over the ranges' counts alone.
-    """
-    ranged = ids.where("id is not null").distinct().withColumn("_range", F.floor(F.col("id") / width))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("_range").orderBy("id")
-    return ranged.withColumn("_r", F.row_number().over(own) - 1).join(bases, "_range").select("id", (F.col("_r") + F.col("_base")).alias("dense"))
+    Values are dealt by ranges and numbered within them as they lie, however sparse they are; a
+    range starts where the ones before it end, by a running sum over the ranges, as many as tasks.
+    The numbered ranges are written once, so that all uses see the same ones."""
+    ranges = ids.select("id").where("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
+    # The row's number within its task is in the lower 33 bits, the task's above.
+    placed = save(ranges.withColumn("place", F.monotonically_increasing_id()), "dense-ids")
+    task, within = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # One row for each task that wrote: few whatever the number of ids.
+    return placed.withColumn("task", task).join(F.broadcast(bases), "task").select("id", (within + F.col("base")).alias("dense"))
 
 
 def renumber(edges: DataFrame, src_ids: DataFrame, dst_ids: DataFrame, dangling: str = "error") -> DataFrame:
@@ -97,15 +140,16 @@ def catalog_from_tables(spark: SparkSession, schema: GraphSchema, vertices: dict
     return GraphCatalog(spark, schema, packed_v, _with_reverse(packed_e, schema.undirected, drop_self_loops), stats)
 
 
-def load_graph(spark: SparkSession, schema: GraphSchema, folder: str, header: bool = True, relabel: bool = False, dangling: str = "error", drop_self_loops: bool = False) -> GraphCatalog:
-    """Read a graph's files. relabel: number each leaf label's vertices densely from 0.
+def load_graph(spark: SparkSession, schema: GraphSchema, folder: str, header: bool = True, relabel: bool = False, dangling: str = "error", drop_self_loops: bool = False, malformed: str = "error") -> GraphCatalog:
+    """Read a graph's files. header: the first line of each is not looked at. relabel: number each
+    leaf label's vertices densely from 0. malformed: "error" or "skip", see read_vertices().
 
     dangling says what an edge end without a vertex is: "error" and "drop" as named, and "keep"
     (without relabel) takes edges as they are, unchecked."""
-    vertices = {k: read_vertices(spark, _path(folder, f), header) for k, f in schema.leaves.items()}
+    vertices = {k: read_vertices(spark, _path(folder, f), header, malformed) for k, f in schema.leaves.items()}
     edges: dict[tuple[str, str, str], DataFrame] = {}
     for e in schema.edges:
-        t = read_edges(spark, _path(folder, e.file), header)
+        t = read_edges(spark, _path(folder, e.file), header, malformed)
         edges[e.key] = edges[e.key].unionByName(t) if e.key in edges else t
     if relabel:
         maps = {k: dense_ids(t) for k, t in vertices.items()}
@@ -119,15 +163,15 @@ def load_graph(spark: SparkSession, schema: GraphSchema, folder: str, header: bo
     return catalog_from_tables(spark, schema, vertices, edges, drop_self_loops)
 
 
-def relabel_files(spark: SparkSession, schema: GraphSchema, source: str, target: str, header: bool = True, dangling: str = "error", overwrite: bool = False) -> None:
+def relabel_files(spark: SparkSession, schema: GraphSchema, source: str, target: str, header: bool = True, dangling: str = "error", overwrite: bool = False, malformed: str = "error") -> None:
     """Write the graph's CSV files again with dense ids, under the same names. Nothing is asked: a
     target that exists is an error unless `overwrite`."""
     mode = "overwrite" if overwrite else "errorifexists"
-    maps = {k: dense_ids(read_vertices(spark, _path(source, f), header)) for k, f in schema.leaves.items()}
+    maps = {k: dense_ids(read_vertices(spark, _path(source, f), header, malformed)) for k, f in schema.leaves.items()}
     for k, f in schema.leaves.items():
         maps[k].select(F.col("dense").alias(":ID")).write.csv(_path(target, f), sep="|", header=True, mode=mode)
     for e in schema.edges:
-        out = renumber(read_edges(spark, _path(source, e.file), header), maps[e.src], maps[e.dst], dangling)
+        out = renumber(read_edges(spark, _path(source, e.file), header, malformed), maps[e.src], maps[e.dst], dangling)
         out.select(F.col("src").alias(":START_ID"), F.col("dst").alias(":END_ID")).write.csv(_path(target, e.file), sep="|", header=True, mode=mode)
 
 
@@ -136,21 +180,21 @@ def _edge_dir(key: tuple[str, str, str]) -> str:
 
 
 def store_graph(catalog: GraphCatalog, folder: str, overwrite: bool = False, reverse: bool = True) -> None:
-    """Write a graph as Parquet, raw ids, with its schema and statistics. Edges are sorted by
-    source within files, and stored by target too with `reverse`, so that file statistics prune
-    lookups from either end."""
+    """Write a graph as Parquet, with global ids, its schema and statistics. Edges are dealt and
+    sorted by source, and stored by target too with `reverse`: a filter on ids at either end goes to
+    the scan as it is, and the files' statistics say which row groups can have them."""
     spark, mode = catalog.spark, "overwrite" if overwrite else "errorifexists"
     stats = []
     for leaf in catalog.schema.ordered_leaves:
-        catalog.vertices(leaf).select(raw_id(F.col("id")).alias("id")).sortWithinPartitions("id").write.parquet(_path(folder, f"vertices/{leaf}"), mode=mode)
+        catalog.vertices(leaf).sortWithinPartitions("id").write.parquet(_path(folder, f"vertices/{leaf}"), mode=mode)
     for key in sorted(catalog._edges):
-        raw = catalog.edge_table(key).select(raw_id(F.col("src")).alias("src"), raw_id(F.col("dst")).alias("dst"))
-        raw.repartitionByRange("src").sortWithinPartitions("src", "dst").write.parquet(_path(folder, _edge_dir(key)), mode=mode)
+        edges = catalog.edge_table(key).select("src", "dst")
+        edges.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").write.parquet(_path(folder, _edge_dir(key)), mode=mode)
+        stored = spark.read.schema("src long, dst long").parquet(_path(folder, _edge_dir(key)))
         if reverse:
-            raw.repartitionByRange("dst").sortWithinPartitions("dst", "src").write.parquet(_path(folder, _edge_dir(key) + ".by_target"), mode=mode)
-        stored = spark.read.parquet(_path(folder, _edge_dir(key)))
+            stored.repartitionByRange("dst", "src").sortWithinPartitions("dst", "src").write.parquet(_path(folder, _edge_dir(key) + ".by_target"), mode=mode)
         r = stored.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("src").alias("s"), F.approx_count_distinct("dst").alias("d")).first()
-        stats.append({"key": list(key), "rows": r.n, "sources": r.s, "targets": r.d})
+        stats.append({"key": list(key), "rows": r.n, "sources": r.s, "targets": r.d, "by_target": reverse})
     spec = json.dumps({"schema": catalog.schema.to_json(), "edges": stats})
     spark.createDataFrame([(spec,)], "value string").coalesce(1).write.mode(mode).text(_path(folder, "catalog"))
 
@@ -159,12 +203,12 @@ def open_graph(spark: SparkSession, folder: str) -> GraphCatalog:
     """A stored graph. Its edges are sets already, with both directions of undirected labels."""
     spec = json.loads("\n".join(r.value for r in spark.read.text(_path(folder, "catalog"), wholetext=True).collect()))
     schema = GraphSchema.from_json(spec["schema"])
-    vertices = {x: spark.read.schema("id long").parquet(_path(folder, f"vertices/{x}")).select(global_id(schema.ordinal(x), F.col("id")).alias("id")) for x in schema.ordered_leaves}
-    edges, stats = {}, {}
+    vertices = {x: spark.read.schema("id long").parquet(_path(folder, f"vertices/{x}")) for x in schema.ordered_leaves}
+    edges, by_target, stats = {}, {}, {}
     for e in spec["edges"]:
         key = tuple(e["key"])
-        t = spark.read.schema("src long, dst long").parquet(_path(folder, _edge_dir(key)))
-        edges[key] = t.select(global_id(schema.ordinal(key[1]), F.col("src")).alias("src"), global_id(schema.ordinal(key[2]), F.col("dst")).alias("dst"))
+        edges[key] = spark.read.schema("src long, dst long").parquet(_path(folder, _edge_dir(key)))
+        if e["by_target"]:
+            by_target[key] = spark.read.schema("src long, dst long").parquet(_path(folder, _edge_dir(key) + ".by_target"))
         stats[key] = EdgeStats(e["rows"], e["sources"], e["targets"])
-    return GraphCatalog(spark, schema, vertices, edges, stats)
-
+    return GraphCatalog(spark, schema, vertices, edges, stats, by_target)
