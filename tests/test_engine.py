@@ -135,5 +135,29 @@ def test_choice(graphs, monkeypatch):
     text = engine.explain(Pattern.of(*CASES["neq"]))
     assert "strategy: eager" in text and "HashAggregate" in text
     monkeypatch.setattr(compiler, "LARGE", 1.0)
+    names = ("neq", "not", "triangle", "optional_neq", "two_neq")
+    choice = {n: engine.compile(Pattern.of(*CASES[n])).choose() for n in names}
+    assert choice == {"neq": "subtract", "not": "eager", "triangle": "eager", "optional_neq": "eager", "two_neq": "subtract"}
+    monkeypatch.setattr(compiler, "SKEWED", 1.0)
     choice = {n: engine.compile(Pattern.of(*CASES[n])).choose() for n in ("neq", "not", "triangle", "optional_neq", "two_neq")}
     assert choice == {"neq": "subtract", "not": "subtract", "triangle": "intersect", "optional_neq": "eager", "two_neq": "subtract"}
+
+
+def test_hubs_are_told_from_equal_degrees(spark):
+    """Triangles are closed from the end with fewer neighbours where edges have hubs."""
+    from weftgraph.plans import compiler
+
+    schema = GraphSchema({"P": "P.csv"}, {}, [EdgeTable("k", "P", "P")], {"k"})
+    ring = [(i, (i + s) % 400) for i in range(400) for s in (1, 2)]
+    hubs = [*ring, *[(h, i) for h in (0, 7) for i in range(400) if i != h]]
+    p = Pattern.of("a:P; b:P; c:P", "(a)-[k]->(b); (b)-[k]->(c); (c)-[k]->(a)")
+    for pairs, skewed in ((ring, False), (hubs, True)):
+        g = catalog_from_tables(spark, schema, {"P": spark.range(400)}, {("k", "P", "P"): spark.createDataFrame(pairs, "src long, dst long")})
+        assert (g.skew(("k", "P", "P")) >= compiler.SKEWED) == skewed
+        both = {(a, b) for a, b in pairs} | {(b, a) for a, b in pairs}
+        near = {}
+        for a, b in both:
+            near.setdefault(a, set()).add(b)
+        want = sum(len(near[a] & near[b]) for a, b in both)
+        engine = PatternEngine(g)
+        assert [engine.count(p, s).first()[0] for s in ("eager", "intersect")] == [want, want]

@@ -27,6 +27,9 @@ MOST_SUBTRACTED = 2
 #: Rows of a join, by estimate, from which subtraction is worth its terms, and intersection the
 #: degrees it counts first; fewer rows flow through faster.
 LARGE = 1e8
+#: Edges that meet at hubs this many times as often as at equal degrees are worth looking up from
+#: the end with fewer neighbours; at equal degrees that end has as many, and the work is for nothing.
+SKEWED = 4.0
 #: Rows added up early must be expected to become fewer by this factor.
 SHRINK = 2.0
 
@@ -243,18 +246,24 @@ class Compiler:
 
     def choose(self) -> str:
         """What "auto" stands for. Where the largest join of early counting is large by estimate:
-        subtraction, if inequalities and NOT edges are what keeps an acyclic pattern from being added
-        up before it, and intersection, if triangles are closed. Early counting otherwise."""
+        subtraction, if inequalities, or NOT edges over edges with hubs, are what keeps an acyclic
+        pattern from being added up before it, and intersection, if triangles of edges with hubs are
+        closed. Early counting otherwise."""
         core, keep = self._split()
         nots = self.pattern.of_kind(NOT)
         self.peak, self.closed = 0.0, False
         self.core(keep, core, nots)
         if self.peak < LARGE:
             return "eager"
-        if 0 < len(core) + len(nots) <= MOST_SUBTRACTED and not keep and self.pattern.is_acyclic():
+        if 0 < len(core) + len(nots) <= MOST_SUBTRACTED and not keep and self.pattern.is_acyclic() and (not nots or self._skewed()):
             return "subtract"
         self.core(keep, core, nots, intersect=True)
-        return "intersect" if self.closed else "eager"
+        return "intersect" if self.closed and self._skewed() else "eager"
+
+    def _skewed(self) -> bool:
+        """Whether an edge of the pattern has hubs. Asked only where a join is large: it takes a job."""
+        edges = [*self.pattern.of_kind(REGULAR), *self.pattern.of_kind(NOT)]
+        return any(self.catalog.skew(k) >= SKEWED for e in edges for k in self.catalog.edge_keys(e.label, self.leaves[e.src], self.leaves[e.dst]))
 
     def count(self, strategy: str = "auto") -> DataFrame:
         """One row, match_count."""

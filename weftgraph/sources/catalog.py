@@ -37,6 +37,7 @@ class GraphCatalog:
         #: Edge tables stored a second time in order of their targets, where there are such.
         self._by_target = by_target or {}
         self._stats = dict(stats or {})
+        self._skew: dict[tuple[str, str, str], float] = {}
         self._labels = {k[0] for k in edges} | {e.label for e in schema.edges}
 
     # Lookup
@@ -104,6 +105,19 @@ class GraphCatalog:
             self._stats[key] = EdgeStats(r.n, r.s, r.d)
         return self._stats[key]
 
+    def skew(self, key: tuple[str, str, str]) -> float:
+        """How many times as many pairs of edges meet at a source or a target as would if all had
+        the same degree; counted when it is first asked for."""
+        if key not in self._skew:
+            worst = 1.0
+            for end in ("src", "dst"):
+                d = self._edges[key].groupBy(end).agg(F.count(F.lit(1)).cast("double").alias("d"))
+                r = d.agg(F.sum(F.col("d") * F.col("d")).alias("pairs"), F.sum("d").alias("rows"), F.count(F.lit(1)).alias("n")).first()
+                if r.n:
+                    worst = max(worst, r.pairs * r.n / (r.rows * r.rows))
+            self._skew[key] = worst
+        return self._skew[key]
+
     # Whole-graph views
 
     def out_degrees(self, label: str, src: list[str] | None = None, dst: list[str] | None = None) -> DataFrame:
