@@ -193,8 +193,8 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text")
 
     Defined cases: "und" with score 0 for a null text, one without a letter, and when nothing was
     learned; among equal scores the language that sorts first; whole texts are read, however long;
-    repeated rows each give a row; an input column with the name of a
-    result is replaced; an empty table gives an empty table.
+    repeated rows each give a row; an input column with the name of a result is replaced; an empty
+    table gives an empty table.
     """
     shipped = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks))
 
