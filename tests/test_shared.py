@@ -5,7 +5,8 @@ import pytest
 from weftgraph.sources import shared
 
 
-def test_scratch_tables(spark):
+def test_scratch_tables(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_MADE", {})  # tables of other tests stay
     s = shared.Scratch(spark)
     one, two = s.save(spark.range(5), "one"), s.save(spark.range(0), "two")
     assert one.count() == 5 and two.count() == 0 and s.path.startswith(shared.shared_dir(spark))
