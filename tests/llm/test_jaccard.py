@@ -66,7 +66,7 @@ def test_dealt_tiles(docs_of, monkeypatch):
 
     rows = corpus(4)
     want = brute(rows, 4, 85, 100)
-    for limits in ({"LEAST_FREQUENT": 4, "LOCAL": 2, "TILE": 3}, {"BLOCK": 4}):
+    for limits in ({"LEAST_FREQUENT": 4, "LOCAL": 2, "TILE": 3}, {"BLOCK": 4, "PARTNERS": 2}):
         for name, value in limits.items():
             monkeypatch.setattr(jaccard, name, value)
         assert {r.doc_id: r.component_id for r in jaccard_classes(docs_of(rows)).collect()} == want

@@ -32,6 +32,8 @@ COUNTED = 4_000_000
 LOCAL = 4
 #: Classes of an entry that one task gathers; an entry with more is dealt to more tasks.
 TILE = 4096
+#: Pairs of a document that one task verifies; one in more pairs is sent to more tasks.
+PARTNERS = 64
 #: So many rows of two longs at most are broadcast, after they have been counted.
 BROADCAST_ROWS = 200_000
 #: Classes of a tile; longer lists are cut into blocks of half as many, which meet in pairs.
@@ -330,15 +332,26 @@ def candidate_pairs(tiles: DataFrame, num: int, den: int, all_pairs: bool) -> Da
     return tiles.mapInArrow(run, "a long, b long, open boolean").where("a <> b or open").distinct()
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they have been counted to be few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by intersection of the sorted sets. Texts are read
     again, of the documents in pairs only."""
-    members = pairs.select(F.explode(F.array("a", "b")).alias("m"))
-    texts = keep_probable(docs.where("id is not null"), F.col("id"), members, F.col("m"))
-    # Rows that repeat count once; dealt by id, which the joins need as well.
-    texts = texts.repartition("id").dropDuplicates(["id", "text"])
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = keep_probable(docs.where("id is not null"), F.col("id"), members, F.col("id"))
+    # A document of very many pairs is there in several copies, each for a part of its pairs.
+    many = _small(members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PARTNERS).select("id", F.ceil(F.col("n") / PARTNERS).alias("copies")))
+    copies = lambda df, key: df.join(many.withColumnRenamed("id", key), key, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    texts = copies(texts, "id").select("id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    # Rows that repeat count once; dealt by id and copy, which the joins need as well.
+    texts = texts.repartition("id", "copy").dropDuplicates(["id", "copy", "text"])
+    part = lambda other: F.pmod(F.xxhash64(other), F.col("copies"))
+    both = copies(copies(pairs, "a").withColumn("pa", part("b")).drop("copies"), "b").withColumn("pb", part("a")).drop("copies")
+    both = both.join(texts.select(F.col("id").alias("a"), F.col("copy").alias("pa"), F.col("text").alias("ta")), ["a", "pa"])
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("copy").alias("pb"), F.col("text").alias("tb")), ["b", "pb"]).select("a", "b", "ta", "tb")
 
     def run(batches):
         import pyarrow as pa
@@ -353,11 +366,6 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """rows, to be broadcast if they have been counted to be few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def dealt_entries(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """Postings (g, i, j, side, id, n) of the classes' prefixes.
 
@@ -385,9 +393,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Defined cases: a document without text or words has an empty set and is linked with nothing; a
     row without id is returned with a null component and links nothing; repeated rows are each
     returned, and rows that share an id are versions of one document, whose links are those of all;
-    very long texts are read whole; a similarity of exactly num / den links;
-    other columns are ignored, whatever their names; an empty
-    table gives an empty table.
+    very long texts are read whole; a similarity of exactly num / den links; other columns are
+    ignored, whatever their names; an empty table gives an empty table.
     """
     ship_code(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
