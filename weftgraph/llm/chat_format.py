@@ -10,6 +10,8 @@ from .cluster import Scratch
 #: Turn numbers in a block, and rows in a rendered part. Running hashes go block by block and
 #: rendered text part by part, so that no task needs all turns of one conversation.
 BLOCK = 256
+#: A conversation of more parts than this is dealt by ranges of its rows; others are sorted in a row.
+SORTED_PARTS = 4
 #: Characters of a text that its place among the rows of one turn goes by.
 ORDER_CHARS = 64
 
@@ -121,10 +123,14 @@ def chat_format(logs: DataFrame, block: int = BLOCK) -> DataFrame:
     scratch = Scratch(logs.sparkSession)
     kept = scratch.save(maximal_conversations(logs, block), "kept")
     rows = _turns(logs).distinct().withColumn("head", F.substring("text", 1, ORDER_CHARS)).withColumn("digest", F.md5("text"))
-    parts = in_parts(rows.join(kept, "conv_id"), scratch, block)
     line = lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["text"], F.lit("\n"))
-    return (
-        parts.groupBy("conv_id", "part", "n_turns")
-        .agg(F.array_sort(F.collect_list(F.struct(*_TURN, "role", "head", "digest", "text"))).alias("rows"))
-        .select("conv_id", "part", "n_turns", F.array_join(F.transform("rows", line), "").alias("rendered"))
-    )
+    in_order = F.array_sort(F.collect_list(F.struct(*_TURN, "role", "head", "digest", "text"))).alias("rows")
+    few = F.col("n_turns") <= SORTED_PARTS * block
+    whole = rows.join(kept.where(few), "conv_id").groupBy("conv_id", "n_turns").agg(in_order)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / block).cast("int")), lambda i: F.slice("rows", i * block + 1, F.lit(block)))
+    out = whole.select("conv_id", "n_turns", F.posexplode(cut).alias("part", "rows"))
+    long = kept.where(~few)
+    if not long.isEmpty():
+        parts = in_parts(rows.join(long, "conv_id"), scratch, block)
+        out = out.unionByName(parts.groupBy("conv_id", "part", "n_turns").agg(in_order))
+    return out.select("conv_id", F.col("part").cast("long").alias("part"), "n_turns", F.array_join(F.transform("rows", line), "").alias("rendered"))
